@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: tuple = ()
+from lodestone.operators import orphans
+
+_MODULES: tuple = (orphans,)
 
 
 def queries() -> dict:
