@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import p01_split, p02_quantiles, p03_looks, p04_neighbours, p06_near, p10_encoding
+from lodestone.llm import p01_split, p02_quantiles, p03_looks, p04_neighbours, p06_near, p07_scans, p08_containers, p09_mix, p10_encoding
 
-_MODULES = (p01_split, p02_quantiles, p03_looks, p04_neighbours, p06_near, p10_encoding)
+_MODULES = (p01_split, p02_quantiles, p03_looks, p04_neighbours, p06_near, p07_scans, p08_containers, p09_mix, p10_encoding)
 
 
 def queries() -> dict:
