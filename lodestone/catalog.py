@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.operators import orphans
+from lodestone.operators import orphans, predicate, texts
 
-_MODULES: tuple = (orphans,)
+_MODULES: tuple = (orphans, predicate, texts)
 
 
 def queries() -> dict:

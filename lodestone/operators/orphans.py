@@ -68,7 +68,7 @@ def orphans(state: OrphanState) -> DataFrame:
 def snapshot(state: OrphanState, period: str = "month") -> DataFrame:
     """Orphans per table, period of the record and kind."""
     one = state.refs.where(F.col("kind").isNotNull()).groupBy("tbl", "rec_id", "kind").agg(F.min("ts").alias("ts"))
-    return one.groupBy("tbl", F.date_trunc(period, "ts").alias("period"), "kind").agg(F.count("*").alias("n_orphans"))
+    return one.groupBy("tbl", F.date_format(F.date_trunc(period, "ts"), "yyyy-MM-dd").alias("period"), "kind").agg(F.count("*").alias("n_orphans"))
 
 
 class OrphanTracker:
@@ -140,6 +140,6 @@ _FOUND = f"""
   FROM checkpoints c LEFT JOIN (SELECT task_id, min(created_at) AS created_at FROM tasks GROUP BY 1) t ON t.task_id = c.task_id WHERE c.task_id IS NOT NULL"""
 ORACLE = {
     "p5_found": f"SELECT DISTINCT tbl, rec_id, kind FROM ({_FOUND}) WHERE kind IS NOT NULL",
-    "p5_periods": f"""SELECT tbl, date_trunc('month', ts) AS period, kind, count(*) AS n_orphans
+    "p5_periods": f"""SELECT tbl, strftime(date_trunc('month', ts), '%Y-%m-%d') AS period, kind, count(*) AS n_orphans
 FROM (SELECT tbl, rec_id, kind, min(ts) AS ts FROM ({_FOUND}) WHERE kind IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""",
 }
