@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.operators import orphans, predicate, texts
+from lodestone.operators import graph, ledger, observe, orphans, predicate, search, texts
 
-_MODULES: tuple = (orphans, predicate, texts)
+_MODULES: tuple = (orphans, predicate, texts, search, ledger, observe, graph)
 
 
 def queries() -> dict:
