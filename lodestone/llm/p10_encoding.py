@@ -154,8 +154,10 @@ def _any_sign() -> re.Pattern[str]:
     return re.compile("|".join(dict.fromkeys(f"(?:{p.pattern})" for p in signs().values())) + "|[�\x80-\x9f]")
 
 
-#: Never in a clean text; what dictionaries are made of must be free of these.
-_BROKEN = re.compile("[�\x80-\x9f\ue000-\uf8ff├┬╨╤╦╬▀]|Ã.|Â[^A-Z]|â€|√[©±º]|[а-я][А-Я]{2}|鈥|锛|銆|[¡-ÿ]{5}")
+@lru_cache(1)
+def _unfit() -> re.Pattern[str]:
+    """Signs that keep a line out of the dictionaries: all but words in Cyrillic capitals, which titles have."""
+    return re.compile(_any_sign().pattern.replace(f"(?:{_CAPITALS})", "(?:[а-яё][А-ЯЁ])") + "|[\ue000-\uf8ff├┬╨╤╦╬▀]")
 
 
 def suspicious(text: str) -> bool:
@@ -290,6 +292,15 @@ def restore(text: str, langs: Languages) -> tuple[str, tuple[str, ...], bool]:
                 lines[i], garbled = new, True
                 chains.add("|".join(chain))
         garbled = garbled or any(c == "�" or "\x80" <= c <= "\x9f" and c != "\x85" for c in line)
+    for i, line in enumerate(lines if chains else ()):  # short lines take a chain of the others where it costs nothing
+        if not line.isascii() and suspicious(line):
+            for chain in sorted(chains):
+                new: str | None = line
+                for link in chain.split("|"):
+                    new = redo(new, *link.split(">")) if new is not None else None
+                if new is not None and "�" not in new and langs.size(new) <= langs.size(line):
+                    lines[i] = new
+                    break
     return "\n".join(lines), tuple(sorted(chains)), garbled
 
 
@@ -309,8 +320,8 @@ def dictionaries(df: DataFrame, text: str, lang: str, key: str, sample: int = SA
     drawn = has.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < part)
     texts: dict[str, list[str]] = {}
     for a, t in drawn.select("_l", F.col(text)).limit(2 * sample * len(counts)).collect():
-        if not _BROKEN.search(t):
-            texts.setdefault(a, []).append(t)
+        # garbled lines in a dictionary would make their like cheap
+        texts.setdefault(a, []).append("\n".join(x for x in t.split("\n") if x.isascii() or not _unfit().search(view(x))))
     return train(texts)
 
 
