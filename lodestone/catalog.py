@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.operators import agentic, caching, graph, ingest, ledger, observe, orphans, predicate, search, texts
+from lodestone.operators import agentic, caching, envelopes, graph, ingest, ledger, observe, orphans, predicate, search, texts
 from lodestone.streaming import ledger as stream_ledger
 
-_MODULES: tuple = (orphans, predicate, texts, search, ledger, observe, graph, ingest, caching, agentic, stream_ledger)
+_MODULES: tuple = (orphans, predicate, texts, search, ledger, observe, graph, ingest, caching, agentic, envelopes, stream_ledger)
 
 
 def queries() -> dict:

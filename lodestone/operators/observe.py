@@ -87,8 +87,8 @@ def q_traces(spark: SparkSession, root: str) -> DataFrame:
 def q_trace_ttl(spark: SparkSession, root: str) -> DataFrame:
     """Calls of each day that are kept: those of the 7 days before the newest."""
     c = calls(spark, root)
-    now = c.agg(F.max("ts").alias("now"))
-    kept = c.join(F.broadcast(now)).where(F.col("ts") >= F.col("now") - F.expr("INTERVAL 7 DAYS"))
+    now = c.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
+    kept = c.where(F.unix_micros("ts") >= now - 7 * 86_400_000_000)
     return kept.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 

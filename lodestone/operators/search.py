@@ -15,6 +15,8 @@ from lodestone.sources.tables import table
 
 #: Bytes of query vectors that are sent to all executors at once; more are taken in blocks.
 QUERY_BYTES = 32 << 20
+#: Different query words, or phrases, that are looked for while texts are read.
+QUERY_WORDS = 1000
 # BM25, fusion and assembly.
 K1, B = 1.2, 0.75
 RRF_K, WEIGHTS = 60, {"dense": 1.0, "bm25": 1.0, "graph_low": 0.8, "graph_high": 0.6}
@@ -90,22 +92,31 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
+def _corpus(d: DataFrame, length: Column) -> tuple[float, float]:
+    """Number of texts and their mean length: two numbers that the scores take as constants."""
+    r = d.agg(F.count("*"), F.avg(length)).first()
+    return float(r[0]), float(r[1] or 1.0)
+
+
 def token_bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score, rank by the words in common (any of the query's), scores squashed to s/(1+s).
 
-    Only postings of the queries' words are kept; the word lists of the few queries are joined by hash.
+    Up to QUERY_WORDS different words are filtered for while the texts are read, so that only their
+    postings are shuffled; more are joined with all postings by word.
     """
     d = docs.where(F.col("text").isNotNull()).select("doc_id", word_list(F.col("text")).alias("w"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_len"))
+    n_docs, avg_len = _corpus(d, F.size("w"))
     terms = queries.select("query_id", F.explode(F.array_distinct(word_list(F.col("query")))).alias("term"))
-    wanted = F.array_sort(F.collect_set("term"))
-    few = terms.agg(wanted.alias("wanted"))  # the words of the queries, one row
-    hit = d.join(F.broadcast(few)).select("doc_id", F.size("w").alias("len"), F.filter("w", lambda x: F.array_contains("wanted", x)).alias("w")).where(F.size("w") > 0)
+    words = [r[0] for r in terms.select("term").distinct().limit(QUERY_WORDS + 1).collect()]
+    hit = d.select("doc_id", F.size("w").alias("len"), "w")
+    if len(words) <= QUERY_WORDS:
+        wanted = F.array(*map(F.lit, words)).cast("array<string>")
+        hit = hit.withColumn("w", F.filter("w", lambda x: F.array_contains(wanted, x)))
     posts = hit.select("doc_id", "len", F.explode("w").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    x = terms.join(posts, "term").join(df, "term").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    x = terms.join(posts, "term").join(df, "term")
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
     s = x.groupBy("query_id", "doc_id").agg(F.sum(part).alias("s")).select("query_id", "doc_id", F.round(F.col("s") / (1 + F.col("s")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -114,19 +125,26 @@ def token_bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 def phrase_bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score, rank by the query as one phrase: substring without case, three characters at least.
 
-    Frequencies are over all texts; a text's length is its number of trigrams.
+    Frequencies are over all texts; a text's length is its number of trigrams.  Each text is tested
+    against the queries as it is read, in blocks of QUERY_WORDS queries.
     """
     d = docs.where(F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("t"), F.greatest(F.length("text") - 2, F.lit(0)).alias("len"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    q = queries.where(F.length("query") >= 3).select("query_id", F.lower("query").alias("q"))
-    # the few queries meet each text as it is read
-    tf = ((F.length("t") - F.length(F.replace(F.col("t"), F.col("q"), F.lit("")))) / F.length("q")).cast("int")
-    hits = d.join(F.broadcast(q), F.contains(F.col("t"), F.col("q"))).select("query_id", "doc_id", "len", tf.alias("tf"))
+    n_docs, avg_len = _corpus(d, F.col("len"))
+    id_type = queries.schema["query_id"].dataType
+    every = queries.where(F.length("query") >= 3).select("query_id", F.lower("query").alias("q")).collect()  # the stated queries
+    hits = None
+    for at in range(0, max(1, len(every)), QUERY_WORDS):
+        block = every[at : at + QUERY_WORDS]
+        known = F.array(*[F.struct(F.lit(r[0]).cast(id_type).alias("id"), F.lit(r[1]).alias("q")) for r in block]) if block else F.array().cast(f"array<struct<id:{id_type.simpleString()},q:string>>")
+        x = d.withColumn("x", F.explode(F.filter(known, lambda r: F.contains(F.col("t"), r["q"]))))  # noqa: B023
+        tf = ((F.length("t") - F.length(F.replace(F.col("t"), F.col("x.q"), F.lit("")))) / F.length("x.q")).cast("int")
+        x = x.select(F.col("x.id").alias("query_id"), "doc_id", "len", tf.alias("tf"))
+        hits = x if hits is None else hits.unionByName(x)
     df = hits.groupBy("query_id").agg(F.count("*").alias("df"))
-    x = hits.join(df, "query_id").join(F.broadcast(stats))
-    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    x = hits.join(df, "query_id")
+    raw = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-    s = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    s = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
     s = x.select("query_id", "doc_id", F.round(s, 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
