@@ -23,6 +23,8 @@ DIM, K = 64, 10
 #: neighbours that a node brings together in a round, the nearest first.
 KEEP, TREES, BLOCK, ROUNDS, MEET = 14, 10, 1024, 2, 28
 LEAST = 0.85
+#: Pool of a query and steps of the search in the graph.
+WIDTH, STEPS = 64, 3
 SEED = 11
 
 
@@ -262,6 +264,34 @@ def nearest(n: DataFrame, graph: DataFrame, k: int = K, least: float = -1.0) ->
     return exact.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("cosine") >= least))
 
 
+def search_graph(queries: DataFrame, n: DataFrame, graph: DataFrame, width: int, steps: int, dim: int = DIM) -> DataFrame:
+    """src, dst, sim: the ``width`` nearest nodes of each query node (id, q) after greedy steps over the graph.
+
+    A step walks from all nodes of a query's pool to their neighbours at once, compares the new ones
+    with the query and keeps the best; it is :func:`greedy_search` for a table of queries.
+    """
+    pool = graph.join(queries.select(F.col("id").alias("src")), "src", "left_semi")
+    links = graph.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sim = (_matrix(b.column("qc"), dim) * _matrix(b.column("qs"), dim)).sum(1)
+                yield _lists(b.column("src").to_numpy(), b.column("cand").to_numpy()[:, None], sim[:, None])
+
+    walked = None
+    for _ in range(steps):
+        at = pool.select("src", F.explode(F.slice("dst", 1, width)).alias("mid"))
+        ahead = at if walked is None else at.join(walked, ["src", "mid"], "left_anti")
+        cand = ahead.join(links, "mid").select("src", F.explode("next").alias("cand")).where("src <> cand").distinct()
+        cand = cand.join(pool.select("src", F.explode("dst").alias("cand")), ["src", "cand"], "left_anti")
+        x = cand.join(n.select(F.col("id").alias("cand"), F.col("q").alias("qc")), "cand").join(queries.select(F.col("id").alias("src"), F.col("q").alias("qs")), "src")
+        new = x.select("src", "cand", "qc", "qs").mapInArrow(compare, EDGES)
+        walked = at
+        pool = materialize(best(pool.unionByName(new), width), "pool")
+    return pool
+
+
 def greedy_search(query: np.ndarray, vectors: dict[int, np.ndarray], edges: dict[int, list[int]], starts: list[int], k: int, width: int = 32) -> list[int]:
     """Best-first walk over the graph: the ``k`` nearest nodes found to a unit vector."""
     seen = set(starts)
@@ -292,8 +322,8 @@ def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The 10 most similar chunks of every chunk whose id, a number after its prefix, is divisible by 20."""
     n = _vectors(spark, root)
     q = n.where(F.pmod(F.coalesce(F.regexp_extract("key", "(\\d+)$", 1).try_cast("bigint"), F.xxhash64("key")), F.lit(20)) == 0)
-    graph = neighbour_graph(n, keep=24, trees=14, rounds=3, meet=40)
-    return nearest(n, graph.join(q.select(F.col("id").alias("src")), "src", "left_semi"), K).select("key_a", "key_b", F.round("cosine", 6).alias("cosine"), "rank")
+    graph = neighbour_graph(n, keep=24, trees=14, rounds=2, meet=36)
+    return nearest(n, search_graph(q, n, graph, WIDTH, STEPS), K).select("key_a", "key_b", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
