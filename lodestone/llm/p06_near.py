@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from lodestone.sources.tables import table
 RUN, SHARE, LEAST_CHARS = 12, 0.60, 120
 #: Minimum hashes, subsets of them (blocks), hashes in a subset.
 HASHES, BLOCKS, ROWS = 64, 40, 5
-#: A cell of the grid of at most this many records gives all its pairs, a larger one each record's
-#: pairs with the first and the nearest ones before it in the order of the next hashes.
-CELL = 100
-NEAR = 8
+#: A cell of the grid of at most this many records gives all its pairs at once; a larger one is cut into
+#: parts of about PART records, all of which are compared with one another.  Pairs of a larger cell need
+#: AGREE of the minimum hashes in common (see :func:`sieve_loss`).
+CELL, PART, AGREE = 100, 2048, 16
 SEED = 20
 
 
@@ -136,8 +137,28 @@ def recall(at: float, trials: int = 20000) -> float:
     return float(same[:, _numbers()[3]].all(axis=2).any(axis=1).mean())
 
 
+def sieve_loss(at: float) -> float:
+    """Probability that fewer than ``AGREE`` minimum hashes agree where two records share ``at`` of their content."""
+    return float(sum(comb(HASHES, k) * at**k * (1 - at) ** (HASHES - k) for k in range(AGREE)))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` (rows of one byte for each minimum hash) of all pairs with ``AGREE`` equal bytes."""
+    left, right, columns = [], [], np.ascontiguousarray(b.T)
+    for at in range(0, len(a), 64):  # stays in the cache
+        x = a[at : at + 64]
+        n = np.zeros((len(x), len(b)), np.uint8)
+        for k in range(HASHES):
+            n += x[:, k, None] == columns[k]
+        i, j = np.nonzero(n >= AGREE)
+        left.append(i + at)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def fingerprints(df: DataFrame, key: str, text: str, tbl: str, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """tbl, key, cls (64-bit digest of table and normalised text) and cells of every text that is long enough.
+    """tbl, key, cls (64-bit digest of table and normalised text), cells and sig (a byte of each minimum hash)
+    of every text that is long enough.
 
     Null keys and null or shorter texts give no rows.
     """
@@ -156,9 +177,10 @@ def fingerprints(df: DataFrame, key: str, text: str, tbl: str, least_chars: int
                 low[i] = minima(hashed(n))
             c = cells(low).view(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, BLOCKS, dtype=np.int32)), pa.array(c.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("tbl"), b.column("key"), pa.array(cls, pa.int64()), flat], names=["tbl", "key", "cls", "cells"])
+            sig = pa.array([x.tobytes() for x in ((low ^ (low >> np.uint32(8))) & np.uint32(255)).astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("tbl"), b.column("key"), pa.array(cls, pa.int64()), flat, sig], names=["tbl", "key", "cls", "cells", "sig"])
 
-    return rows.mapInArrow(run, "tbl string, key string, cls bigint, cells array<bigint>")
+    return rows.mapInArrow(run, "tbl string, key string, cls bigint, cells array<bigint>, sig binary")
 
 
 def _class(tbl: str, norm: str) -> int:
@@ -168,9 +190,8 @@ def _class(tbl: str, norm: str) -> int:
 def candidates(prints: DataFrame) -> DataFrame:
     """Distinct pairs (cls_a < cls_b) of classes that meet in a cell of the grid.
 
-    Rows are dealt by cell and read in order, so a hot cell streams through a task and is never held.
-    Equal classes count once.  A cell of more than ``CELL`` classes gives each class's pairs with the
-    first of the cell and the ``NEAR`` before it: linear, and still connected.
+    Rows are dealt by cell and read in order.  Equal classes count once.  The members of a cell of more
+    than ``CELL`` classes stream through as they are, and :func:`hot_pairs` compares them all.
     """
     spark = prints.sparkSession
     dealt = (
@@ -180,16 +201,13 @@ def candidates(prints: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_cell, held = None, np.zeros(0, np.int64)
+        held_cell, held, hot = None, np.zeros(0, np.int64), False
 
-        def pairs(group: np.ndarray) -> np.ndarray:
-            n = len(group)
-            if n <= CELL:
-                i, j = np.triu_indices(n, 1)
-            else:
-                i = np.concatenate([np.zeros(n - 1, int), *(np.arange(0, n - d) for d in range(1, NEAR + 1))])
-                j = np.concatenate([np.arange(1, n), *(np.arange(d, n) for d in range(1, NEAR + 1))])
-            return np.stack([group[i], group[j]], 1)
+        def pairs(p: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64())], names=["cls_a", "cls_b", "cell"])
+
+        def members(cell: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(len(cls), pa.int64()), pa.array(cell)], names=["cls_a", "cls_b", "cell"])
 
         for b in batches:
             if not b.num_rows:
@@ -204,26 +222,82 @@ def candidates(prints: DataFrame) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             held_cell, held = cell[start[-1]], cls[start[-1] :]  # goes on in the next batch
             size = np.diff(start)
-            start, found = start[:-1], []
-            for k in np.unique(size[(size > 1) & (size <= CELL)]):  # all cells of a size at once
+            large = size > CELL
+            if len(size):
+                large[0] |= hot
+                hot = False
+            found = []
+            for k in np.unique(size[(size > 1) & ~large]):  # all cells of a size at once
                 i, j = np.triu_indices(k, 1)
-                at = start[size == k][:, None]
+                at = start[:-1][(size == k) & ~large][:, None]
                 found.append(np.stack([cls[at + i].ravel(), cls[at + j].ravel()], 1))
-            found += [pairs(cls[s : s + k]) for s, k in zip(start[size > CELL], size[size > CELL], strict=True)]
-            if len(held) > 4 * CELL:  # a hot cell: keep the first and the last ones only
-                found.append(pairs(held))
-                held = np.concatenate([held[:1], held[-NEAR:]])
             if found:
-                p = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["cls_a", "cls_b"])
-        if len(held) > 1:
-            p = pairs(held)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["cls_a", "cls_b"])
-
-    found = dealt.mapInArrow(run, "cls_a bigint, cls_b bigint")
+                yield pairs(np.concatenate(found))
+            if large.any():
+                in_ = np.repeat(large, size)
+                yield members(cell[: start[-1]][in_], cls[: start[-1]][in_])
+            if hot or len(held) > CELL:  # all but the last, which the next batch may repeat
+                hot = True
+                yield members(np.full(len(held) - 1, held_cell), held[:-1])
+                held = held[-1:]
+        if hot:
+            yield members(np.full(len(held), held_cell), held)
+        elif len(held) > 1:
+            i, j = np.triu_indices(len(held), 1)
+            yield pairs(np.stack([held[i], held[j]], 1))
+
+    met = materialize(dealt.mapInArrow(run, "cls_a bigint, cls_b bigint, cell bigint"), "met")
+    hot = hot_pairs(met.where("cell IS NOT NULL").select("cell", F.col("cls_a").alias("cls")), prints.select("cls", "sig").dropDuplicates(["cls"]))
+    found = met.where("cell IS NULL").select("cls_a", "cls_b").unionByName(hot)
     return found.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).where("cls_a <> cls_b").distinct()
 
 
+def hot_pairs(members: DataFrame, sigs: DataFrame, part: int = PART) -> DataFrame:
+    """Pairs (cls_a, cls_b) of the members (cell, cls; no repeats) of a cell whose minimum hashes allow the share.
+
+    A cell is cut into parts by hash and each part meets each other one, and itself, in a group of its
+    own.  So all pairs of a cell are compared, however many they are, and no task holds more than two parts.
+    """
+    parts = members.groupBy("cell").agg(F.ceil(F.count("*") / part).alias("parts"))
+    own = members.join(parts, "cell").join(sigs, "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    met = other.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def compare(i: np.ndarray, j: np.ndarray, own: np.ndarray, cls: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+            if i[0] == j[0]:
+                a, b = agreeing(sig, sig)
+                a, b = cls[a[a < b]], cls[b[a < b]]
+            else:
+                left = own == i[0]
+                if left.all() or not left.any():
+                    a = b = cls[:0]
+                else:
+                    a, b = agreeing(sig[left], sig[~left])
+                    a, b = cls[left][a], cls[~left][b]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["cls_a", "cls_b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(c).to_numpy() for c in ("cell", "i", "j", "own", "cls")]
+            now.append(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            new = np.any([x[1:] != x[:-1] for x in now[:3]], axis=0)
+            start = np.flatnonzero(np.concatenate([[True], new]))
+            for s, e in zip(start[:-1], start[1:], strict=True):
+                yield compare(*(x[s:e] for x in now[1:]))
+            held = [x[start[-1] :] for x in now]  # goes on in the next batch
+        if held is not None:
+            yield compare(*held[1:])
+
+    dealt = met.repartition(2 * parallelism(members.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return dealt.mapInArrow(run, "cls_a bigint, cls_b bigint")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SHARE) -> DataFrame:
     """The pairs whose texts share at least ``least`` of their runs, with that share; ``texts``: cls, text."""
     a = pairs.join(texts.select(F.col("cls").alias("cls_a"), F.col("text").alias("ta")), "cls_a")

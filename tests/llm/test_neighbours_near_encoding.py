@@ -91,6 +91,36 @@ def test_hot_copies_stay_linear(spark):
     assert len(got) < 500 and {k for p in got for k in p} == set(texts)
 
 
+def edits(n, seed=5):
+    r = np.random.default_rng(seed)
+    own = [f"w{v}" for v in r.integers(10**5, 10**6, 60)]
+    texts = {}
+    for k in range(n):
+        t = list(own)
+        for at in r.choice(60, 2, replace=False):
+            t[at] = f"x{r.integers(10**5, 10**6)}"
+        texts[f"{k:04d}"] = " ".join(t)
+    return texts
+
+
+def test_a_large_family_of_edited_copies_is_linked_throughout(spark):
+    texts = edits(300) | {f"z{k}": t for k, t in edits(5, 9).items()}
+    true, got = brute(texts), near(spark, texts)
+    assert len(true) > 40_000 and got <= true and len(got) >= 0.99 * len(true), (len(true), len(got))
+
+
+def test_parts_of_a_hot_cell_all_meet(spark):
+    r = np.random.default_rng(1)
+    base = r.integers(0, 256, (4, 64), dtype=np.uint8)
+    sig = [np.where(r.random(64) < 0.8, base[k % 4], r.integers(0, 256, 64)).astype(np.uint8) for k in range(250)]
+    members = spark.createDataFrame([(7, k) for k in range(250)] + [(8, k) for k in range(3)], "cell bigint, cls bigint")
+    sigs = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sig)], "cls bigint, sig binary")
+    true = {(a, b) for a in range(250) for b in range(a + 1, 250) if (sig[a] == sig[b]).sum() >= p6.AGREE}
+    for part in (20, 1000):
+        assert {tuple(sorted(x)) for x in p6.hot_pairs(members, sigs, part).collect()} == true
+    assert p6.sieve_loss(0.6) < 1e-7
+
+
 def test_manhattan_is_a_lower_bound():
     r = np.random.default_rng(0)
     a, b = (r.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(2))
