@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lodestone.llm.classes import variant_pairs
+from lodestone.plans.session import materialize
 from lodestone.sources.tables import table
 
 # Letters of other scripts that have the shape of a Latin letter.
@@ -166,7 +167,7 @@ def _strings(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents by file name, chunks by text, that differ as strings and look the same."""
-    return variant_pairs(look_classes(_strings(spark, root), "text", ("tbl", "key")))
+    return variant_pairs(materialize(look_classes(_strings(spark, root), "text", ("tbl", "key")), "looks"))
 
 
 def p3_forms(spark: SparkSession, root: str) -> DataFrame:

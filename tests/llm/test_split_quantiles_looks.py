@@ -116,6 +116,20 @@ def test_pairs_of_looks(spark):
     assert variant_pairs(p03_looks.look_classes(df.limit(0), "text", ("tbl", "key"))).count() == 0
 
 
+def test_every_two_variants_of_a_hot_class_are_paired(spark):
+    few = [("t", f"{k:05d}", "c", k % 3) for k in range(101)]
+    many = [("u", f"{k:05d}", "c", k) for k in range(300)]
+    twice = [("v", "0", "c", 1), ("v", "0", "c", 2), ("v", "1", "c", 2), *(("v", f"x{k:03d}", "c", 3) for k in range(100))]
+    df = spark.createDataFrame(few + many + twice, "tbl string, key string, cls string, variant bigint")
+    for blocks in ({}, {"block": 40}):
+        got = [tuple(r) for r in variant_pairs(df, **blocks).collect()]
+        assert len(got) == len(set(got)) and all(a < b for _, a, b in got)
+        assert {frozenset((int(a) % 3, int(b) % 3)) for t, a, b in got if t == "t"} == {frozenset(x) for x in ((0, 1), (0, 2), (1, 2))}
+        assert {k for t, *p in got if t == "t" for k in p} == {x[1] for x in few}
+        assert len([x for x in got if x[0] == "u"]) == 300 * 299 // 2
+        assert ("v", "0", "1") in got
+
+
 def test_hot_class_comes_out_linear_and_whole(spark):
     rows = [("t", f"{k:05d}", "ab" if k % 3 else "a​b") for k in range(900)]
     df = spark.createDataFrame(rows, "tbl string, key string, text string")
