@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans.session import parallelism
+from lodestone.plans.session import materialize, parallelism
 from lodestone.sources.tables import table
 
 #: Items of a section; more make the sketch larger and the error smaller.
@@ -23,6 +23,8 @@ SECTION = 64
 PERCENTS = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 #: Sections compacted at first, and the constant of the method's standard error.
 SECTIONS, ERROR = 3, 0.0512
+#: Sketches of a group that one task merges; numbers that the sketches of a task hold together.
+FAN, HELD = 64, 4_000_000
 
 
 class RankSketch:
@@ -90,6 +92,10 @@ class RankSketch:
                 self.turns[h] = turn + 1
             h += 1
 
+    def size(self) -> int:
+        """Numbers held."""
+        return sum(map(len, self.levels))
+
     @property
     def _side(self) -> dict[int, int]:
         if not hasattr(self, "_sides"):
@@ -126,15 +132,17 @@ class RankSketch:
 
 
 def sketches(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
-    """A sketch per group and value column of each partition: ``groups``, field, part, sketch.
+    """A sketch per group and value column of each partition: ``groups``, field, sketch.
 
-    Built where the rows are, before any shuffle, so a hot group costs one small sketch a partition.
-    Null and negative numbers are left out; a group without any number gives no row.
+    Built where the rows are, so a hot group costs one sketch a partition.  Sketches that hold more than
+    HELD numbers together are passed on and begun anew, so a task's memory is bounded however many groups
+    it meets.  Null and negative numbers are left out; a group without any number gives no row.
     """
     kept = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, RankSketch] = {}
+        size = 0
         for pdf in batches:
             for key, rows in pdf.groupby(groups, dropna=False, sort=False):
                 for v in values:
@@ -142,46 +150,71 @@ def sketches(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
                     x = x[x >= 0]
                     if len(x):
                         k = (*(None if pd.isna(g) else g for g in key), v)
-                        if k not in held:
-                            held[k] = RankSketch()
-                        held[k].add(x)
-            if len(held) > 20_000:  # many small groups: pass them on
-                yield _frame(held, groups)
-                held = {}
+                        s = held.setdefault(k, RankSketch())
+                        size -= s.size()
+                        size += s.add(x).size()
+            if size > HELD:
+                yield _frame(list(held.items()), groups)
+                held, size = {}, 0
         if held:
-            yield _frame(held, groups)
+            yield _frame(list(held.items()), groups)
 
     return df.select(*groups, *values).mapInPandas(run, f"{kept}, field string, sketch binary")
 
 
-def _frame(held: dict[tuple, RankSketch], groups: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(list(held), columns=[*groups, "field"])
-    out["sketch"] = [s.to_bytes() for s in held.values()]
+def _frame(held: list[tuple[tuple, RankSketch]], groups: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame([k[: len(groups) + 1] for k, _ in held], columns=[*groups, "field"])
+    out["sketch"] = [s.to_bytes() for _, s in held]
     return out
 
 
-def merged(sk: DataFrame, groups: list[str]) -> DataFrame:
-    """One sketch per group and field.  Sketches are merged in salted parts first, then these."""
-    kept = ", ".join(f"`{g}` {sk.schema[g].dataType.simpleString()}" for g in groups)
-    keys = [*groups, "field"]
+def _merge_sorted(groups: list[str], keys: list[str]):  # noqa: ANN202
+    """Merges runs of rows with equal ``keys``, one sketch held at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, RankSketch] = {}
+        now: tuple | None = None
+        s: RankSketch | None = None
         for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                key = tuple(None if pd.isna(g) else g for g in row[:-1])
-                s = RankSketch.from_bytes(row[-1])
-                if key in held:
-                    held[key].merge(s)
+            done: list[tuple[tuple, RankSketch]] = []
+            for *key, raw in pdf[[*keys, "sketch"]].itertuples(index=False, name=None):
+                k = tuple(None if pd.isna(g) else g for g in key)
+                if k == now:
+                    s.merge(RankSketch.from_bytes(raw))
                 else:
-                    held[key] = s
-        if held:
-            yield _frame(held, groups)
+                    if s is not None:
+                        done.append((now, s))
+                    now, s = k, RankSketch.from_bytes(raw)
+            if done:
+                yield _frame(done, groups)
+        if s is not None:
+            yield _frame([(now, s)], groups)
+
+    return run
 
-    n = parallelism(sk.sparkSession)
-    parts = sk.select(*keys, "sketch").repartition(n, *keys, F.pmod(F.xxhash64("sketch"), F.lit(8)))
-    once = parts.mapInPandas(run, f"{kept}, field string, sketch binary")
-    return once.repartition(n, *keys).mapInPandas(run, f"{kept}, field string, sketch binary")
+
+def merged(sk: DataFrame, groups: list[str], fan: int = FAN) -> DataFrame:
+    """One sketch per group and field, merged in a tree: no task takes up more than about ``fan`` sketches of a group.
+
+    The sketches are written once and counted.  As long as a group has more than ``fan`` of them, its sketches are
+    dealt at random into parts of that size, each of which is merged.  Rows are sorted by group, so that a task
+    holds one sketch at a time.
+    """
+    spark = sk.sparkSession
+    kept = ", ".join(f"`{g}` {sk.schema[g].dataType.simpleString()}" for g in groups)
+    schema = f"{kept}, field string, sketch binary"
+    keys = [*groups, "field"]
+    n = parallelism(spark)
+    sk = materialize(sk.select(*keys, "sketch"), "sketches")
+    while True:
+        counts = sk.groupBy(*keys).agg(F.count("*").alias("_n"))
+        most = counts.agg(F.max("_n")).first()[0] or 0
+        if most <= fan:
+            break
+        parts = sk.join(counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        parts = parts.select(*keys, "sketch", F.pmod(F.xxhash64("sketch"), F.ceil(F.col("_n") / fan)).alias("_part"))
+        sorted_ = parts.repartition(n, *keys, "_part").sortWithinPartitions(*keys, "_part")
+        sk = materialize(sorted_.mapInPandas(_merge_sorted(groups, [*keys, "_part"]), schema), "sketches")
+    return sk.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(_merge_sorted(groups, keys), schema)
 
 
 def percentiles(sk: DataFrame, groups: list[str], qs: tuple[float, ...] = PERCENTS) -> DataFrame:
@@ -200,23 +233,36 @@ def percentiles(sk: DataFrame, groups: list[str], qs: tuple[float, ...] = PERCEN
 
 
 def _calls(spark: SparkSession, root: str) -> DataFrame:
-    """Calls, those that arrived again once (all but the arrival equal), with their day."""
+    """Calls, those that arrived again once (all but the arrival equal), with their day.
+
+    Equal calls meet by a 128-bit digest of their columns, so that only it and the columns needed are shuffled.
+    """
     same = ["trace_id", "ts", "kb_id", "tenant_id", "role", "provider", "model", "prompt_tokens", "completion_tokens", "cost_usd", "ok", "cached"]
-    c = table(spark, root, "cost_records").select(*same).dropDuplicates()
-    return c.select("model", "kb_id", F.to_date("ts").alias("day"), "prompt_tokens", "completion_tokens")
+    marked = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in same]  # null differs from what no column holds
+    c = table(spark, root, "cost_records").select("model", "kb_id", F.to_date("ts").alias("day"), "prompt_tokens", "completion_tokens", F.unhex(F.md5(F.concat_ws("\x1f", *marked))).alias("_d"))
+    return c.dropDuplicates(["_d"]).drop("_d")
+
+
+FIELDS = ["prompt_tokens", "completion_tokens"]
 
 
 def p2_daily(spark: SparkSession, root: str) -> DataFrame:
     """Percentiles of each model, knowledge base and day."""
     keys = ["model", "kb_id", "day"]
-    return percentiles(merged(sketches(_calls(spark, root), keys, ["prompt_tokens", "completion_tokens"]), keys), keys)
+    return percentiles(merged(sketches(_calls(spark, root), keys, FIELDS), keys), keys)
+
+
+def p2_rollup(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of each model and knowledge base, joined from the sketches of single days."""
+    days, keys = ["model", "kb_id", "day"], ["model", "kb_id"]
+    return percentiles(merged(merged(sketches(_calls(spark, root), days, FIELDS), days), keys), keys)
 
 
 def p2_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """Percentiles of each model and knowledge base, from the sketches of single partitions."""
     keys = ["model", "kb_id"]
-    return percentiles(merged(sketches(_calls(spark, root), keys, ["prompt_tokens", "completion_tokens"]), keys), keys)
+    return percentiles(merged(sketches(_calls(spark, root), keys, FIELDS), keys), keys)
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_daily": p2_daily}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p2_rollup": p2_rollup}
 ORACLE: dict[str, str] = {}

@@ -20,11 +20,17 @@ from lodestone.llm.classes import variant_pairs
 from lodestone.plans.session import materialize
 from lodestone.sources.tables import table
 
-# Letters of other scripts that have the shape of a Latin letter.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝӏ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXaeopcyxsijhdqwl"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο"
-GREEK_AS = "ABEZHIKMNOPTYXo"
+# Letters of other scripts, and the Latin letter whose shape they have.
+LETTERS = (
+    ("Cyrillic", "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝӏԌѴѵ", "ABESIJKMHOPCTYXaeopcyxsijhdqwlGVv"),
+    ("Greek", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρυκϲϳϹͿ", "ABEZHIKMNOPTYXoavpukcjCJ"),
+    ("Armenian", "ՍՏՕԼհոսցօքզյ", "USOLhnugoqqj"),
+    ("Cherokee", "ᎪᎫᎬᎳᎷᎻᎾᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏭᏴᎠᎡᎢᎥ", "AJEWMHOGhZbRWSVSLCPKGBDRTi"),
+    ("Lisu", "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    ("Coptic", "ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "HIKMNOPCTXopc"),
+    ("Latin", "ɡ", "g"),
+    ("signs", "⁄∕∶˸։", "//:::"),
+)
 #: Hyphens of one look; dashes are longer and stay.
 HYPHENS = "‐‑﹣－"
 #: Characters without a look: joiners, marks of direction, soft hyphen, variation selectors.
@@ -54,7 +60,7 @@ def mapping() -> dict[str, str]:
     Raises ``ValueError`` on a conflict: a result that would itself be changed again, or a character
     with two results.
     """
-    to = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True)) | dict.fromkeys(HYPHENS, "-") | {chr(c): "" for c in INVISIBLE}
+    to = {a: b for _, letters, latin in LETTERS for a, b in zip(letters, latin, strict=True)} | dict.fromkeys(HYPHENS, "-") | {chr(c): "" for c in INVISIBLE}
     letters = dict(to)
     for cp in range(0x80, 0x30000):
         c = chr(cp)

@@ -1,11 +1,15 @@
 """Problem 6: groups of records that differ by small edits.
 
-Method: segment-popcount embedding.  A record's fingerprint has one block of 128 bits for each of
-``BLOCKS`` subsets of its minimum hashes.  A block is embedded as the bit counts of its 16 segments.
-The Manhattan distance of bit counts is a lower bound of the bits in which two blocks differ.  Records
-that share 0.60 of their content agree wholly in one block at least (with the probability given by
-:func:`recall`), so the range join over the grid of bit counts needs the radius 0 only, and the packed
-counts are its cell.  Each pair of a cell is then verified exactly on the runs of characters.
+Method: segment-popcount embedding.  A record's fingerprint has a segment of eight bits for each of 64
+minimum hashes; it is embedded as the 64 bit counts of its segments.  Where a minimum hash agrees, the
+counts do, and each hash that differs adds 1.6 on average, so the Manhattan distance of two embeddings is a lower bound of
+the bits that differ and tells their share.  Pairs beyond RADIUS are dropped before any text is fetched (see :func:`sieve_loss` for what
+that can cost), and the others are verified exactly on the runs of characters.
+
+One step departs from the method: which pairs are compared.  A grid over bit counts cannot find them.  At a share of
+0.60 the expected distance is 40 of 100 for unrelated texts, so by pigeonhole a group of segments whose counts are
+nearly equal must be so small that unrelated texts fall together in it as well.  Pairs meet instead in
+one of BLOCKS cells, each the digest of five minimum hashes (probability in :func:`recall`).
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.classes import linked_pairs
+from lodestone.operators.graph import components
 from lodestone.plans.session import materialize, parallelism
 from lodestone.sources.tables import table
 
@@ -28,10 +32,11 @@ from lodestone.sources.tables import table
 RUN, SHARE, LEAST_CHARS = 12, 0.60, 120
 #: Minimum hashes, subsets of them (blocks), hashes in a subset.
 HASHES, BLOCKS, ROWS = 64, 40, 5
-#: A cell of the grid of at most this many records gives all its pairs at once; a larger one is cut into
-#: parts of about PART records, all of which are compared with one another.  Pairs of a larger cell need
-#: AGREE of the minimum hashes in common (see :func:`sieve_loss`).
-CELL, PART, AGREE = 100, 2048, 16
+#: A cell of at most this many records gives all its pairs at once; a larger one is cut into
+#: parts of about PART records, all of which are compared with one another.
+CELL, PART = 100, 2048
+#: Largest Manhattan distance of the bit counts of two records that are verified.
+RADIUS = 74
 SEED = 20
 
 
@@ -92,35 +97,32 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
-def segment_counts(words: np.ndarray) -> np.ndarray:
-    """Bit counts of the eight segments of each 64-bit word, one in each byte."""
-    m1, m2, m4 = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
-    x = words - ((words >> np.uint64(1)) & m1)
-    x = (x & m2) + ((x >> np.uint64(2)) & m2)
-    return (x + (x >> np.uint64(4))) & m4
-
-
 def cells(minima_: np.ndarray) -> np.ndarray:
-    """The packed bit counts (16 of four bits) of each block's 128 bits; blocks never share a cell."""
+    """The digest of each block's minimum hashes; blocks never share a cell but by chance."""
     rows = _numbers()[3]
     h = np.zeros(minima_.shape[:-1] + (BLOCKS,), np.uint64)
     for j in range(ROWS):
         h = _mix(h * np.uint64(31) + minima_[..., rows[:, j]].astype(np.uint64) + np.uint64(j + 1))
-    h = _mix(h + np.arange(1, BLOCKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    a, b = segment_counts(h), segment_counts(_mix(h ^ np.uint64(0xD6E8FEB86659FD93)))
-    # four bits hold 0 to 7; a count of 8 (one segment in 256) is kept as 7, which only joins cells
-    seven = np.uint64(0x0707070707070707)
-    cap = lambda x: (x & seven) | (((x >> np.uint64(3)) & np.uint64(0x0101010101010101)) * np.uint64(7))
-    return cap(a) | (cap(b) << np.uint64(4))
+    return _mix(h + np.arange(1, BLOCKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+
+
+def fingerprint(minima_: np.ndarray) -> np.ndarray:
+    """The segment of eight bits of each minimum hash."""
+    h = minima_ * np.uint32(0x85EBCA6B)
+    return ((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(24)).astype(np.uint8)
+
+
+def embedded(minima_: np.ndarray) -> np.ndarray:
+    """The bit counts (0 to 8) of the segments of the fingerprint."""
+    return _ONES[fingerprint(minima_)]
 
 
 def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance of packed bit counts: never more than the number of bits in which the blocks differ."""
-    out = np.zeros(np.broadcast(a, b).shape, np.int64)
-    for s in range(0, 64, 4):
-        m = np.uint64(15)
-        out += np.abs(((a >> np.uint64(s)) & m).astype(np.int64) - ((b >> np.uint64(s)) & m).astype(np.int64))
-    return out
+    """Distance of bit counts, row by row: never more than the number of bits in which the fingerprints differ."""
+    return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=-1, dtype=np.int64)
 
 
 def share(a: np.ndarray, b: np.ndarray) -> float:
@@ -138,27 +140,41 @@ def recall(at: float, trials: int = 20000) -> float:
 
 
 def sieve_loss(at: float) -> float:
-    """Probability that fewer than ``AGREE`` minimum hashes agree where two records share ``at`` of their content."""
-    return float(sum(comb(HASHES, k) * at**k * (1 - at) ** (HASHES - k) for k in range(AGREE)))
+    """Probability that the embeddings of two records which share ``at`` of their content are beyond RADIUS.
 
+    The distance is a sum over independent segments: nothing where the hash agrees, else the difference of the
+    bit counts of two random bytes.
+    """
+    n = np.bincount(_ONES, minlength=9) / 256
+    one = np.array([sum(n[i] * n[j] for i in range(9) for j in range(9) if abs(i - j) == d) for d in range(9)]) * (1 - at)
+    one[0] += at
+    total = np.ones(1)
+    for _ in range(HASHES):
+        total = np.convolve(total, one)
+    return float(total[RADIUS + 1 :].sum())
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``a`` and ``b`` (rows of one byte for each minimum hash) of all pairs with ``AGREE`` equal bytes."""
+
+def within(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` (rows of bit counts) of all pairs within RADIUS."""
     left, right, columns = [], [], np.ascontiguousarray(b.T)
     for at in range(0, len(a), 64):  # stays in the cache
         x = a[at : at + 64]
-        n = np.zeros((len(x), len(b)), np.uint8)
+        n = np.zeros((len(x), len(b)), np.uint16)
         for k in range(HASHES):
-            n += x[:, k, None] == columns[k]
-        i, j = np.nonzero(n >= AGREE)
+            n += np.maximum(x[:, k, None], columns[k]) - np.minimum(x[:, k, None], columns[k])
+        i, j = np.nonzero(n <= RADIUS)
         left.append(i + at)
         right.append(j)
     return np.concatenate(left), np.concatenate(right)
 
 
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
 def fingerprints(df: DataFrame, key: str, text: str, tbl: str, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """tbl, key, cls (64-bit digest of table and normalised text), cells and sig (a byte of each minimum hash)
-    of every text that is long enough.
+    """tbl, key, cls (64-bit digest of table and normalised text), cells and sig (the embedding, a byte for
+    each bit count) of every text that is long enough.
 
     Null keys and null or shorter texts give no rows.
     """
@@ -175,9 +191,10 @@ def fingerprints(df: DataFrame, key: str, text: str, tbl: str, least_chars: int
                 n = normalised(t)
                 cls.append(_class(names[i], n))
                 low[i] = minima(hashed(n))
-            c = cells(low).view(np.int64)
+            own = np.array([_class(x, "") for x in names], np.int64).view(np.uint64)  # tables share no cell
+            c = _mix(cells(low) ^ own[:, None]).view(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, BLOCKS, dtype=np.int32)), pa.array(c.ravel()))
-            sig = pa.array([x.tobytes() for x in ((low ^ (low >> np.uint32(8))) & np.uint32(255)).astype(np.uint8)], pa.binary())
+            sig = pa.array([x.tobytes() for x in embedded(low)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("tbl"), b.column("key"), pa.array(cls, pa.int64()), flat, sig], names=["tbl", "key", "cls", "cells", "sig"])
 
     return rows.mapInArrow(run, "tbl string, key string, cls bigint, cells array<bigint>, sig binary")
@@ -188,7 +205,7 @@ def _class(tbl: str, norm: str) -> int:
 
 
 def candidates(prints: DataFrame) -> DataFrame:
-    """Distinct pairs (cls_a < cls_b) of classes that meet in a cell of the grid.
+    """Distinct pairs (cls_a < cls_b) of classes that meet in a cell and are within RADIUS.
 
     Rows are dealt by cell and read in order.  Equal classes count once.  The members of a cell of more
     than ``CELL`` classes stream through as they are, and :func:`hot_pairs` compares them all.
@@ -247,13 +264,27 @@ def candidates(prints: DataFrame) -> DataFrame:
             yield pairs(np.stack([held[i], held[j]], 1))
 
     met = materialize(dealt.mapInArrow(run, "cls_a bigint, cls_b bigint, cell bigint"), "met")
-    hot = hot_pairs(met.where("cell IS NOT NULL").select("cell", F.col("cls_a").alias("cls")), prints.select("cls", "sig").dropDuplicates(["cls"]))
-    found = met.where("cell IS NULL").select("cls_a", "cls_b").unionByName(hot)
-    return found.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).where("cls_a <> cls_b").distinct()
+    sigs = prints.select("cls", "sig").dropDuplicates(["cls"])
+    hot = hot_pairs(met.where("cell IS NOT NULL").select("cell", F.col("cls_a").alias("cls")), sigs)
+    ordered = lambda d: d.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).where("cls_a <> cls_b").distinct()
+    return near(ordered(met.where("cell IS NULL").select("cls_a", "cls_b")), sigs).unionByName(ordered(hot)).distinct()
+
+
+def near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (cls_a, cls_b) whose embeddings are within RADIUS; ``sigs``: cls, sig, one row a class."""
+    x = pairs.join(sigs.select(F.col("cls").alias("cls_a"), F.col("sig").alias("sa")), "cls_a").join(sigs.select(F.col("cls").alias("cls_b"), F.col("sig").alias("sb")), "cls_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ok = pa.array(manhattan(_counts(b.column("sa")), _counts(b.column("sb"))) <= RADIUS)
+                yield b.select(["cls_a", "cls_b"]).filter(ok)
+
+    return x.select("cls_a", "cls_b", "sa", "sb").mapInArrow(run, "cls_a bigint, cls_b bigint")
 
 
 def hot_pairs(members: DataFrame, sigs: DataFrame, part: int = PART) -> DataFrame:
-    """Pairs (cls_a, cls_b) of the members (cell, cls; no repeats) of a cell whose minimum hashes allow the share.
+    """Pairs (cls_a, cls_b) of the members (cell, cls; no repeats) of a cell that are within RADIUS.
 
     A cell is cut into parts by hash and each part meets each other one, and itself, in a group of its
     own.  So all pairs of a cell are compared, however many they are, and no task holds more than two parts.
@@ -268,14 +299,14 @@ def hot_pairs(members: DataFrame, sigs: DataFrame, part: int = PART) -> DataFram
 
         def compare(i: np.ndarray, j: np.ndarray, own: np.ndarray, cls: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
             if i[0] == j[0]:
-                a, b = agreeing(sig, sig)
+                a, b = within(sig, sig)
                 a, b = cls[a[a < b]], cls[b[a < b]]
             else:
                 left = own == i[0]
                 if left.all() or not left.any():
                     a = b = cls[:0]
                 else:
-                    a, b = agreeing(sig[left], sig[~left])
+                    a, b = within(sig[left], sig[~left])
                     a, b = cls[left][a], cls[~left][b]
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["cls_a", "cls_b"])
 
@@ -283,7 +314,7 @@ def hot_pairs(members: DataFrame, sigs: DataFrame, part: int = PART) -> DataFram
             if not b.num_rows:
                 continue
             now = [b.column(c).to_numpy() for c in ("cell", "i", "j", "own", "cls")]
-            now.append(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES))
+            now.append(_counts(b.column("sig")))
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             new = np.any([x[1:] != x[:-1] for x in now[:3]], axis=0)
@@ -339,5 +370,17 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return linked_pairs(links.select("cls_a", "cls_b"), members)
 
 
-QUERIES = {"p6_found": p6_found}
+def p6_groups(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each record that has a near or equal copy: its group (the smallest class joined to it by any chain of
+    links), the representative of its class of equal texts, the copies in that class and the other classes it is linked to."""
+    links, members = near_links(_records(spark, root), "key", "text", "tbl")
+    links = materialize(links.select("cls_a", "cls_b"), "links")
+    of = components(links.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    degree = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    stats = members.groupBy("tbl", "cls").agg(F.count("*").alias("copies"), F.min("key").alias("rep"))
+    known = stats.join(of, "cls", "left").join(degree, "cls", "left").where("copies > 1 OR grp IS NOT NULL")
+    return members.join(known, ["tbl", "cls"]).select("tbl", "key", F.coalesce("grp", "cls").alias("group_id"), "rep", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE: dict[str, str] = {}

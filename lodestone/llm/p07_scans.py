@@ -1,8 +1,12 @@
 """Problem 7: turn text of scanned pages into continuous paragraphs.
 
 Method: a line classifier (boosted stumps) tells page furniture from running text, a classifier of
-line pairs finds words broken at a line's end, and misread words get their candidates from an inverted
+line pairs (likewise) finds words broken at a line's end, and misread words get their candidates from an inverted
 join over character trigrams, from which boosted stumps choose.  The lexicon is the words of all atoms.
+
+Pages of a document are numbered and dealt in windows of WINDOW pages, each with the pages before and behind
+that its lines are compared with.  So documents of any length are spread over tasks, and come out
+as if each was read in one go.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.boost import Boost
@@ -28,8 +32,8 @@ LINES, WORDS = 20_000, 1_500
 #: Non-empty lines at either end of a page that can be furniture.
 EDGE = 3
 HYPHENS = "-‐‑­¬"
-#: Words of a page and pages of a document that are held at once.
-PAGES = 4000
+#: Pages of a window, pages at either side that lines at a page's ends are compared with.
+WINDOW, REACH = 64, 4
 WORD = r"[\p{L}\p{N}@]+(?:['’\-][\p{L}\p{N}@]+)*"
 _WORD = re.compile(r"[^\W_@]+(?:@[^\W_]*)*(?:['’\-][^\W_]+)*|@[^\W_@]+")
 
@@ -155,11 +159,12 @@ def _alike(a: set[str], b: set[str]) -> float:
     return 2 * len(a & b) / max(1, len(a) + len(b))
 
 
-def edge_lines(pages: list[list[str]]) -> dict[tuple[int, int], list[float]]:
-    """Features of the lines at the ends of pages: (page, line index) to a row; words are added later."""
+def edge_lines(pages: list[list[str]], usual: float) -> dict[tuple[int, int], list[float]]:
+    """Features of the lines at the ends of pages: (page, line index) to a row; words are added later.
+
+    ``usual`` is the usual width of the document's lines.
+    """
     flat: list[tuple[int, int, int, bool]] = []
-    widths = [len(x.strip()) for p in pages for x in p if x.strip()]
-    usual = float(np.median(widths)) if widths else 1.0
     for p, lines in enumerate(pages):
         full = [i for i, x in enumerate(lines) if x.strip()]
         for rank, i in enumerate(full[:EDGE]):
@@ -175,7 +180,7 @@ def edge_lines(pages: list[list[str]]) -> dict[tuple[int, int], list[float]]:
     for p, i, rank, top in flat:
         line = pages[p][i]
         s = line.strip()
-        others = [shapes[o] for r in (0, 1) for o in by_place.get((r, top), []) if abs(o[0] - p) <= 4 and o[0] != p]
+        others = [shapes[o] for r in (0, 1) for o in by_place.get((r, top), []) if abs(o[0] - p) <= REACH and o[0] != p]
         sims = sorted((_alike(shapes[(p, i)], o) for o in others), reverse=True)
         letters = [c for c in s if c.isalpha()]
         lines_after = pages[p][i + 1 : i + 2]
@@ -202,20 +207,48 @@ N_EDGE = 14
 
 
 def scanned(atoms: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, atom_id, text of the pages of scanned documents, repeated rows once.
+    """doc_id, atom_id, page, text of the pages of scanned documents, repeated rows once.
 
     A document is scanned if its parser says so, or if it came as PDF or image and its lines are
     wrapped within sentences.  Null texts and atoms without a document do not count.
     """
     of = docs.where(F.col("mimetype").isin("application/pdf", "image/tiff", "image/png", "image/jpeg") | (F.col("metadata")["parser"] == "ocr"))
     of = of.select("doc_id", F.coalesce(F.col("metadata")["parser"] == "ocr", F.lit(False)).alias("ocr"))
-    a = atoms.where((F.col("type") == "text") & F.col("text").isNotNull()).select("doc_id", "atom_id", "text")
+    a = atoms.where((F.col("type") == "text") & F.col("text").isNotNull()).select("doc_id", "atom_id", "page", "text")
     p = a.join(of, "doc_id").dropDuplicates(["atom_id", "text"])
     inner = F.regexp_count("text", F.lit(r"[\p{L}\p{N},\-‐¬­] *\n *[\p{Ll}(]"))
     every = F.regexp_count("text", F.lit(r"[^\n ] *\n *[^\n ]"))
     w = p.groupBy("doc_id").agg((F.sum(inner) / F.greatest(F.lit(1), F.sum(every))).alias("wrapped"), F.sum(every).alias("breaks"), F.max("ocr").alias("ocr"))
     scans = w.where(F.col("ocr") | ((F.col("wrapped") > WRAPPED) & (F.col("breaks") >= 3))).select("doc_id")
-    return p.select("doc_id", "atom_id", "text").join(scans, "doc_id", "left_semi")
+    return p.select("doc_id", "atom_id", "page", "text").join(scans, "doc_id", "left_semi")
+
+
+def ordered(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``no``, their number in the document, and ``usual``, the usual width of its lines.
+
+    The order is by page, then by the number in the atom's id; a page without number follows the one
+    before it.  Numbers are counted within blocks of pages first, and blocks are added up, so that no
+    task sorts a whole document.  The usual width is the median of the pages' medians.
+    """
+    seq = F.coalesce(F.regexp_extract("atom_id", r"(\d+)$", 1).try_cast("bigint"), F.lit(0))
+    p = pages.withColumn("_seq", seq).withColumn("_part", F.floor(F.col("_seq") / 1024))
+    w = Window.partitionBy("doc_id", "_part").orderBy("_seq", "atom_id")
+    before = F.last("page", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.first("page", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    p = p.withColumn("_page", F.coalesce(before, behind, F.lit(0))).withColumn("_block", F.floor(F.col("_page") / 256))
+    wide = F.array_sort(F.filter(F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x))), lambda n: n > 0))
+    p = p.withColumn("_wide", F.get(wide, F.floor(F.size(wide) / 2).cast("int")))
+    usual = p.groupBy("doc_id").agg(F.coalesce(F.percentile_approx("_wide", 0.5, 1000), F.lit(1)).cast("double").alias("usual"))
+    return numbered(p, ["_page", "_seq", "atom_id", "text"]).join(usual, "doc_id").select("doc_id", "atom_id", "text", "no", "usual")
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` (doc_id, _block, rising with the order) with ``no``, their number in the document from 0."""
+    per = rows.groupBy("doc_id", "_block").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    start = per.select("doc_id", "_block", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
+    at = F.row_number().over(Window.partitionBy("doc_id", "_block").orderBy(*order))
+    return rows.withColumn("_at", at).join(start, ["doc_id", "_block"]).withColumn("no", F.col("_start") + F.col("_at") - 1).drop("_block", "_at", "_start")
 
 
 def lexicon(atoms: DataFrame) -> tuple[DataFrame, int]:
@@ -228,37 +261,43 @@ def lexicon(atoms: DataFrame) -> tuple[DataFrame, int]:
     return counts.where(F.col("n") >= least).select("word", (F.col("n") / F.lit(float(max(1, n)))).alias("share")), n
 
 
-def _by_document(df: DataFrame, f: Callable[[int, pd.DataFrame], list[tuple]], columns: str, order: list[str]) -> DataFrame:
-    """Run ``f`` on the rows of each document, streamed in order; documents beyond PAGES pages in parts."""
+def _by_window(df: DataFrame, f: Callable[[int, pd.DataFrame], list[tuple]], columns: str, reach: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """Run ``f`` on each window of pages (by ``no``) of each document, in order, with ``reach`` pages more at either side.
+
+    Rows have ``own``: whether their page is one of the window's.  A window has a bounded number of pages.
+    """
     names = [c.strip().split(" ")[0] for c in columns.split(",")]
+    win = lambda n: F.floor(n / WINDOW)
+    in_ = F.sequence(win(F.greatest(F.col("no") - reach, F.lit(0))), win(F.col("no") + reach))
+    dealt = df.withColumn("win", F.explode(in_)).withColumn("own", F.col("win") == win(F.col("no")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            last = pdf["doc_id"].iloc[-1]
-            cut = int(np.searchsorted(pdf["doc_id"].to_numpy(), last, "left"))
-            if len(pdf) - cut > PAGES:
-                cut = len(pdf)
-            out = [r for d, g in pdf.iloc[:cut].groupby("doc_id", sort=False) for r in f(d, g)]
-            held = pdf.iloc[cut:]
-            held = held if len(held) else None
+
+        def done(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            out = [r for (d, _), g in pdf.groupby(["doc_id", "win"], sort=False) if g["own"].any() for r in f(d, g)]
             if out:
                 yield pd.DataFrame(out, columns=names)
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = (held["doc_id"] == held["doc_id"].iloc[-1]) & (held["win"] == held["win"].iloc[-1])
+            if not last.all():
+                yield from done(held[~last])
+                held = held[last]
         if held is not None:
-            out = [r for d, g in held.groupby("doc_id", sort=False) for r in f(d, g)]
-            if out:
-                yield pd.DataFrame(out, columns=names)
+            yield from done(held)
 
     n = 2 * parallelism(df.sparkSession)
-    return df.repartition(n, "doc_id").sortWithinPartitions("doc_id", *order).mapInPandas(run, columns)
+    return dealt.repartition(n, "doc_id", "win").sortWithinPartitions("doc_id", "win", "no", *order).mapInPandas(run, columns)
 
 
 def _edges(d: int, g: pd.DataFrame) -> list[tuple]:
     pages = [t.split("\n") for t in g["text"]]
-    atoms = list(g["atom_id"])
-    return [(d, atoms[p], i, [float(v) for v in f], words_of(pages[p][i])) for (p, i), f in edge_lines(pages).items()]
+    atoms, own = list(g["atom_id"]), list(g["own"])
+    return [(d, atoms[p], i, [float(v) for v in f], words_of(pages[p][i])) for (p, i), f in edge_lines(pages, float(g["usual"].iloc[0])).items() if own[p]]
 
 
 def _full(row: tuple) -> list[float]:
@@ -300,10 +339,47 @@ def broken(line: str, following: str) -> tuple[str, str] | None:
     return (a[1], b[1]) if a and b else None
 
 
-def analysed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """``lines`` (doc_id, atom_id, line_no, line, furniture, part_a, part_b) and ``fixes`` (word, real)."""
+def _pair_features(a: str, b: str, one: float, compound: float, first: float, second: float) -> list[float]:
+    """Of the parts before and behind a hyphen and a line's end, with the shares of atoms that hold
+    the word in one, the compound and the parts (0 if unknown)."""
+    return [float(one > 0), float(compound > 0), float(first > 0), float(np.log10(second + 1e-9)), len(a), len(b), float(b[:1].islower()), float(any(c.isdigit() for c in a + b))]
+
+
+def fit_pairs(lexicon: list[tuple[str, float]], seed: int = 4) -> Boost:
+    """The classifier of line pairs: does the word before the hyphen go on in the next line?
+
+    Fitted on known words cut in two, some of them as if they were not in the lexicon, against hyphens that
+    hang, behind which another word of the language begins (in proportion to how common words are).
+    """
+    r = np.random.default_rng(seed)
+    share = dict(lexicon)
+    words = [w for w, _ in lexicon if w.isalpha() and len(w) >= 4]
+    x, y = [], []
+    if len(words) > 1:
+        every = [w for w, _ in lexicon]
+        p = np.array([v for _, v in lexicon]) / sum(v for _, v in lexicon)
+        for k, w in enumerate(words):
+            at = int(r.integers(2, len(w) - 1))
+            a, b = w[:at], w[at:]
+            hidden = k % 3 == 0
+            x.append(_pair_features(a, b, 0.0 if hidden else share[w], 0.0, share.get(a, 0.0), share.get(b, 0.0)))
+            y.append(True)
+            if k % 2:  # a compound broken at its own hyphen
+                b = words[int(r.integers(len(words)))]
+                x.append(_pair_features(w, b, share.get(w + b, 0.0), 1e-3, share[w], share[b]))
+                y.append(True)
+            if k % 4 == 0:
+                b = every[int(r.choice(len(every), p=p))]
+                x.append(_pair_features(a, b, share.get(a + b, 0.0), 0.0, share.get(a, 0.0), share[b]))
+                y.append(False)
+    return Boost().fit(np.array(x, float).reshape(-1, 8), np.array(y, float))
+
+
+def analysed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``lines`` (doc_id, atom_id, no, line_no, line, furniture, part_a, part_b, goes_on; ``no`` numbers the pages with running
+    text), ``fixes`` (word, real) and the lexicon."""
     atoms, docs = table(spark, root, "atoms"), table(spark, root, "documents")
-    pages = materialize(scanned(atoms, docs), "pages")
+    pages = materialize(ordered(scanned(atoms, docs)), "pages")
     known, _ = lexicon(atoms)
     known = materialize(known, "lexicon")
     titles = atoms.where("context IS NOT NULL").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(WORD), F.lit(0)))).alias("word"))
@@ -311,7 +387,7 @@ def analysed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     total = atoms.where("context IS NOT NULL").count()
     title_words = n_titles.where(F.col("n") >= max(3.0, 0.002 * total)).select("word", F.lit(1).alias("title"))
 
-    edges = materialize(_by_document(pages, _edges, "doc_id bigint, atom_id string, line int, f array<double>, words array<string>", ["atom_id"]), "edges")
+    edges = materialize(_by_window(pages, _edges, "doc_id bigint, atom_id string, line int, f array<double>, words array<string>", REACH), "edges")
     of_words = edges.select("atom_id", "line", F.explode("words").alias("word")).join(known, "word", "left").join(title_words, "word", "left")
     counts = of_words.groupBy("atom_id", "line").agg(F.count("*").alias("n"), F.count("share").alias("known"), F.count("title").alias("titles"))
     rows = edges.join(counts, ["atom_id", "line"], "left").select("doc_id", "atom_id", "line", "f", "n", "known", "titles")
@@ -328,43 +404,58 @@ def analysed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
                 yield pdf.loc[model.probability(x) > 0.5, ["doc_id", "atom_id", "line"]]
 
     furniture = rows.mapInPandas(judge, "doc_id bigint, atom_id string, line int").groupBy("doc_id", "atom_id").agg(F.collect_set("line").alias("furniture"))
+    marked = pages.join(furniture, ["doc_id", "atom_id"], "left").withColumn("furniture", F.coalesce("furniture", F.array().cast("array<int>")))
+    has_text = F.exists(F.transform(F.split("text", "\n"), lambda x, i: (F.trim(x) != "") & ~F.array_contains("furniture", i)), lambda x: x)
+    marked = materialize(marked.withColumn("running", has_text).drop("usual"), "marked")
+    # pages with running text are numbered anew, so the next line of text is on the same page or the next one
+    running = numbered(marked.where("running").withColumn("_block", F.floor(F.col("no") / 256)).withColumnRenamed("no", "_no"), ["_no"]).drop("_no")
 
     def lines(d: int, g: pd.DataFrame) -> list[tuple]:
         out: list[list] = []
-        for a, t, f in zip(g["atom_id"], g["text"], g["furniture"], strict=True):
-            f = set() if f is None else {int(v) for v in f}
-            out += [[d, a, i + 1, line, i in f, None, None] for i, line in enumerate(t.split("\n"))]
-        text = [k for k, r in enumerate(out) if not r[4] and r[3].strip()]
+        for a, no, own, t, f in zip(g["atom_id"], g["no"], g["own"], g["text"], g["furniture"], strict=True):
+            f = {int(v) for v in f}
+            out += [[own, d, a, no, i + 1, line, i in f, None, None, False] for i, line in enumerate(t.split("\n"))]
+        text = [k for k, r in enumerate(out) if not r[6] and r[5].strip()]
         for k, j in zip(text, text[1:], strict=False):
-            if (two := broken(out[k][3], out[j][3])) is not None:
-                out[k][5], out[k][6] = two
-                out[j].append(True)  # its first word belongs to the line before
-        return [tuple(r[:7]) + (len(r) > 7,) for r in out]
-
-    schema = "doc_id bigint, atom_id string, line_no int, line string, furniture boolean, part_a string, part_b string, goes_on boolean"
-    paired = materialize(_by_document(pages.join(furniture, ["doc_id", "atom_id"], "left"), lines, schema, ["atom_id"]), "pairs")
-    every = materialize(_only_broken(paired, known), "lines")
+            if (two := broken(out[k][5], out[j][5])) is not None:
+                out[k][7], out[k][8] = two
+                out[j][9] = True  # its first word belongs to the line before
+        return [tuple(r[1:]) for r in out if r[0]]
+
+    schema = "doc_id bigint, atom_id string, no bigint, line_no int, line string, furniture boolean, part_a string, part_b string, goes_on boolean"
+    paired = materialize(_by_window(running, lines, schema, 1), "pairs")
+    rest = marked.where("NOT running").select("doc_id", "atom_id", F.lit(None).cast("bigint").alias("no"), F.posexplode(F.split("text", "\n")).alias("i", "line"), "furniture")
+    rest = rest.select("doc_id", "atom_id", "no", (F.col("i") + 1).alias("line_no"), "line", F.array_contains("furniture", F.col("i")).alias("furniture"))
+    none = F.lit(None).cast("string")
+    sample = [(r[0], r[1]) for r in known.where(F.length("word") >= 2).orderBy(F.xxhash64("word")).limit(WORDS).collect()]
+    every = _only_broken(paired, known, fit_pairs(sample)).unionByName(rest.withColumn("part_a", none).withColumn("part_b", none).withColumn("goes_on", F.lit(False)))
+    every = materialize(every, "lines")
 
     words = _line_words(every).select("word").distinct()
     unknown = words.where(F.length("word") >= 4).join(known, "word", "left_anti")
     found = materialize(_fixes(unknown, known), "fixes")
-    return every, found
+    return every, found, known
 
 
-def _only_broken(paired: DataFrame, known: DataFrame) -> DataFrame:
-    """Without the pairs of lines whose hyphen hangs (as of a compound that a later word completes).
-
-    The second part is then a known word of few letters, while neither the word in one nor the compound is known.
-    """
+def _only_broken(paired: DataFrame, known: DataFrame, model: Boost) -> DataFrame:
+    """Without the pairs of lines whose hyphen hangs (as of a compound that a later word completes)."""
     a, b = (F.translate(F.lower(c), "’", "'") for c in ("part_a", "part_b"))
-    two = paired.where("part_a IS NOT NULL").select("atom_id", "line_no", a.alias("a"), b.alias("b"))
-    two = two.where(F.length("b") <= 4)  # longer ones need no look at the lexicon
-    k = lambda name, c: known.select(F.col("word").alias(c), F.lit(1).alias(name))
-    looked = two.withColumn("one", F.concat("a", "b")).withColumn("comp", F.concat("a", F.lit("-"), "b")).join(k("k1", "one"), "one", "left").join(k("k2", "comp"), "comp", "left").join(k("k3", "b"), "b", "left")
-    hanging = looked.where("k1 IS NULL AND k2 IS NULL AND k3 IS NOT NULL").select("atom_id", "line_no", F.lit(1).alias("_h"))
+    two = paired.where("part_a IS NOT NULL").select("atom_id", "line_no", "part_b", a.alias("a"), b.alias("b"))
+    looked = two.withColumn("one", F.concat("a", "b")).withColumn("comp", F.concat("a", F.lit("-"), "b"))
+    for name, on in (("k1", "one"), ("k2", "comp"), ("k3", "a"), ("k4", "b")):
+        looked = looked.join(known.select(F.col("word").alias(on), F.col("share").alias(name)), on, "left")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                k = pdf[["k1", "k2", "k3", "k4"]].fillna(0.0).to_numpy()
+                x = np.array([_pair_features(a, b, *v) for a, b, v in zip(pdf["a"], pdf["part_b"], k, strict=True)])
+                yield pdf.loc[model.probability(x) < 0.5, ["atom_id", "line_no"]]
+
+    hanging = looked.select("atom_id", "line_no", "a", "part_b", "k1", "k2", "k3", "k4").mapInPandas(judge, "atom_id string, line_no int").withColumn("_h", F.lit(1))
     out = paired.join(hanging, ["atom_id", "line_no"], "left")
     part = lambda c: F.when(F.col("_h").isNull(), F.col(c)).alias(c)
-    return out.select("doc_id", "atom_id", "line_no", "line", "furniture", part("part_a"), part("part_b"), "goes_on")
+    return out.select("doc_id", "atom_id", "no", "line_no", "line", "furniture", part("part_a"), part("part_b"), "goes_on")
 
 
 def _line_words(every: DataFrame) -> DataFrame:
@@ -420,12 +511,13 @@ def _fixes(unknown: DataFrame, known: DataFrame) -> DataFrame:
                 out["p"] = model.probability(np.array(x))
                 yield out[out["p"] > 0.5]
 
-    ranked = hits.mapInPandas(rank, "word string, real string, p double")
+    # a given number of partitions stays as it is, so the small rows are not joined into one task
+    ranked = hits.repartition(2 * parallelism(hits.sparkSession), "word", "real").mapInPandas(rank, "word string, real string, p double")
     return ranked.groupBy("word").agg(F.max_by("real", F.struct("p", "real")).alias("real"))
 
 
 def noise(spark: SparkSession, root: str) -> DataFrame:
-    every, found = analysed(spark, root)
+    every, found, _ = analysed(spark, root)
     w = _line_words(every)
     misread = w.join(found, "word").select("atom_id", "line_no").distinct().withColumn("noise", F.lit("misread"))
     furniture = every.where("furniture").select("atom_id", "line_no", F.lit("furniture").alias("noise"))
@@ -438,36 +530,58 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return noise(spark, root)
 
 
-def p7_paragraphs(spark: SparkSession, root: str) -> DataFrame:
-    """The repaired running text of each scanned document, one row a paragraph."""
-    every, found = analysed(spark, root)
-    w = _line_words(every).select("atom_id", "line_no", "word").join(found, "word").groupBy("atom_id", "line_no").agg(F.map_from_entries(F.collect_set(F.struct("word", "real"))).alias("fix"))
-    known = every.where("part_a IS NOT NULL").select(F.concat(F.lower("part_a"), F.lit("-"), F.lower("part_b")).alias("word")).distinct().join(lexicon(table(spark, root, "atoms"))[0], "word", "left_semi").withColumn("compound", F.lit(True))
-    rows = every.where("NOT furniture").join(w, ["atom_id", "line_no"], "left").withColumn("word", F.concat(F.lower("part_a"), F.lit("-"), F.lower("part_b"))).join(known, "word", "left").drop("word")
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """doc_id, paragraph_no, paragraph, from lines of running text in windows of pages.
+
+    ``rows``: doc_id, no, line_no, atom_id, line, fix (misread words of the line), part_a, compound.  A window yields pieces; one that
+    began in the window before is joined to it, and numbers are added up over windows.
+    """
 
     def build(d: int, g: pd.DataFrame) -> list[tuple]:
-        out, text, glue = [], "", ""
-        page = None
-        for a, line, fix, x, on, comp in zip(*(g[c] for c in ("atom_id", "line", "fix", "part_a", "goes_on", "compound")), strict=True):
+        out: list[list] = []  # text, whether it goes on from before, whether it is open, what joins it to what follows
+        fresh, page = False, None
+        for a, line, fix, x, comp in zip(*(g[c] for c in ("atom_id", "line", "fix", "part_a", "compound")), strict=True):
             if not line.strip():
-                if a == page and text and not glue == "-":
-                    out.append(text)
-                    text, glue = "", ""
+                if a == page:
+                    fresh = True
+                    if out:
+                        out[-1][2] = False
                 page = a
                 continue
             page = a
             s = line.strip()
             if x is not None:
                 s = s[: _LAST.search(s).end(1)] + ("-" if comp else "")
-            text = text + glue + s if text else s
-            glue = "" if x is not None else " "
+            if out and not fresh:
+                s = out[-1][0] + out[-1][3] + s
+            else:
+                out.append(["", not fresh, True, ""])
             for k, v in sorted(dict(fix).items()) if fix is not None else ():
-                text = re.sub(rf"(?<![^\W_]){re.escape(k)}(?![^\W_])", lambda m, v=v: v.capitalize() if m[0][:1].isupper() else v, text, flags=re.IGNORECASE)
-        if text:
-            out.append(text)
-        return [(d, i, p) for i, p in enumerate(out)]
+                s = re.sub(rf"(?<![^\W_]){re.escape(k)}(?![^\W_])", lambda m, v=v: v.capitalize() if m[0][:1].isupper() else v, s, flags=re.IGNORECASE)
+            out[-1][0], out[-1][3], fresh = s, "" if x is not None else " ", False
+        return [(d, int(g["win"].iloc[0]), k, *p) for k, p in enumerate(out)]
+
+    pieces = materialize(_by_window(rows, build, "doc_id bigint, win bigint, k int, text string, goes_on boolean, is_open boolean, glue string", 0, ("line_no",)), "pieces")
+    per = pieces.groupBy("doc_id", "win").agg(F.count("*").alias("n"), F.min_by("goes_on", "k").alias("goes_on"), F.max_by("is_open", "k").alias("is_open"))
+    w = Window.partitionBy("doc_id").orderBy("win")
+    joined = (F.col("goes_on") & F.coalesce(F.lag("is_open").over(w), F.lit(False))).cast("int")
+    per = per.select("doc_id", "win", "n", joined.alias("joined"))
+    upto = F.sum(F.col("n") - F.col("joined")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first = per.select("doc_id", "win", (upto - F.col("n")).alias("first"))
+    p = pieces.join(first, ["doc_id", "win"]).select("doc_id", (F.col("first") + F.col("k")).cast("int").alias("paragraph_no"), F.struct("win", "text", "glue").alias("p"))
+    many = p.groupBy("doc_id", "paragraph_no").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    text = F.aggregate("p", F.struct(F.lit("").alias("text"), F.lit("").alias("glue")), lambda s, x: F.struct(F.concat(s["text"], s["glue"], x["text"]).alias("text"), x["glue"].alias("glue")), lambda s: s["text"])
+    return many.select("doc_id", "paragraph_no", text.alias("paragraph"))
+
 
-    return _by_document(rows, build, "doc_id bigint, paragraph_no int, paragraph string", ["atom_id", "line_no"])
+def p7_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    """The repaired running text of each scanned document, one row a paragraph."""
+    every, found, lex = analysed(spark, root)
+    w = _line_words(every).select("atom_id", "line_no", "word").join(found, "word").groupBy("atom_id", "line_no").agg(F.map_from_entries(F.collect_set(F.struct("word", "real"))).alias("fix"))
+    pair = F.concat(F.lower("part_a"), F.lit("-"), F.lower("part_b"))
+    known = every.where("part_a IS NOT NULL").select(pair.alias("word")).distinct().join(lex, "word", "left_semi").withColumn("compound", F.lit(True))
+    rows = every.where("NOT furniture AND no IS NOT NULL").join(w, ["atom_id", "line_no"], "left").withColumn("word", pair).join(known, "word", "left").drop("word")
+    return paragraphs(rows)
 
 
 QUERIES = {"p7_found": p7_found, "p7_paragraphs": p7_paragraphs}

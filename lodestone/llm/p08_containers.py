@@ -8,6 +8,8 @@ incumbent.  Documents are dealt by hash into lots that are packed on their own.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.tokens import counted
+from lodestone.plans.session import parallelism
 from lodestone.sources.tables import table
 
 #: Documents of a lot (about), fillings looked at around one document, branches looked at in a lot.
 LOT, FILLINGS, BRANCHES = 2000, 24, 400
+#: Specifications that are packed at once; a longer table is an error.
+MOST_SPECS = 1000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -87,9 +92,11 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = FI
         out.discard(())
     ranked = sorted(out, key=lambda f: (room - sum(f), -max(f, default=0)))
 
+    rising = left[::-1]
+
     def dominated(f: tuple[int, ...]) -> bool:
         waste = room - sum(f)
-        return any(counts.get(x + d, 0) > f.count(x + d) for x in set(f) for d in range(1, min(waste, 8) + 1))
+        return any(counts[y] > f.count(y) for x in set(f) for y in rising[bisect_right(rising, x) : bisect_right(rising, x + waste)])
 
     kept = [f for f in ranked if not dominated(f)]
     return (kept or ranked)[:most]
@@ -168,8 +175,7 @@ def packed(df: DataFrame, key: str, tokens: str, specs: list[tuple[str, int]], r
     lots = max(1, round(rows / lot))
     kind = df.schema[key].dataType.simpleString()
 
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable")
+    def one_lot(lot_no: int, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, sizes = pdf[key].to_numpy(), pdf[tokens].to_numpy().astype(int)
         out = []
         for spec, capacity in specs:
@@ -189,20 +195,36 @@ def packed(df: DataFrame, key: str, tokens: str, specs: list[tuple[str, int]], r
         return pd.DataFrame(
             {
                 "spec_id": np.concatenate([[o[0]] * len(o[1]) for o in out]),
-                "container_id": np.concatenate([[f"{group[0]}-{x}" for x in o[1]] for o in out]),
+                "container_id": np.concatenate([[f"{lot_no}-{x}" for x in o[1]] for o in out]),
                 key: keys[np.concatenate([o[2] for o in out]).astype(int)],
                 "part_no": np.concatenate([o[3] for o in out]).astype("int32"),
                 "tokens": np.concatenate([o[4] for o in out]).astype("int32"),
             }
         )
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = int(np.searchsorted(held["_lot"].to_numpy(), held["_lot"].iloc[-1], "left")) if len(held) else 0
+            for n, g in held.iloc[:last].groupby("_lot", sort=False):
+                yield one_lot(int(n), g)
+            held = held.iloc[last:]
+        if held is not None and len(held):
+            yield one_lot(int(held["_lot"].iloc[0]), held)
+
     dealt = df.select(key, tokens).where(F.col(key).isNotNull() & F.col(tokens).isNotNull()).withColumn("_lot", F.pmod(F.xxhash64(key), F.lit(lots)))
-    return dealt.groupBy("_lot").applyInPandas(run, f"spec_id string, container_id string, `{key}` {kind}, part_no int, tokens int")
+    # a number of partitions that is given stays as it is, so small lots are not joined into one task
+    parts = min(lots, max(parallelism(df.sparkSession), lots // 64))
+    return dealt.repartition(parts, "_lot").sortWithinPartitions("_lot", key).mapInPandas(run, f"spec_id string, container_id string, `{key}` {kind}, part_no int, tokens int")
 
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
-    specs = [(r[0], int(r[1])) for r in table(spark, root, "container_specs").where("capacity_tokens > 0").orderBy("spec_id").limit(1000).collect()]
+    rows = table(spark, root, "container_specs").where("capacity_tokens > 0").orderBy("spec_id").limit(MOST_SPECS + 1).collect()
+    if len(rows) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} container specifications")
+    specs = [(r[0], int(r[1])) for r in rows]
     return packed(counted(docs, "text", ("doc_id",)).dropDuplicates(["doc_id"]), "doc_id", "tokens", specs, docs.count())
 
 

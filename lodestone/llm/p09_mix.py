@@ -19,6 +19,8 @@ from lodestone.sources.tables import table
 #: Rounds of raking; languages told apart; documents of a stretch in which draws are
 #: spread evenly; places tried to start from.
 ROUNDS, STRETCH, STARTS = 30, 2000, 32
+#: Cells that are raked; more are an error.
+MOST_CELLS = 1_000_000
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "ru")
 
 
@@ -71,33 +73,36 @@ def rake(cells: pd.DataFrame, targets: pd.DataFrame, rounds: int = ROUNDS) -> pd
     return c.assign(copies=w / c["tokens"])
 
 
-def mixed(docs: DataFrame, targets: DataFrame, topics: list[str]) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, targets: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``chosen`` (mix_id, doc_id, source, tokens, copies) and the ``cells`` that the draw followed.
 
     ``docs``: doc_id, source, lang, topic, tokens.  The cells are a listed source, one of LANGUAGES or
-    other, and one of ``topics`` or other, so their number is bounded, and they are aggregated before
-    they reach the driver.  Documents of a source are drawn systematically in stretches ordered by
+    other, and one of ``topics`` (topic; no repeats) or other.  They are aggregated before they reach the
+    driver, and more than MOST_CELLS of them are an error.  Documents of a source are drawn systematically in stretches ordered by
     language and size: each is taken as often as its expected copies, rounded up or down, never over max_repeats.
     """
     spark = docs.sparkSession
     lang = F.lower(F.substring("lang", 1, 2))
-    d = docs.where(F.col("tokens") > 0).select(
-        "doc_id", "source", "tokens", F.when(lang.isin(*LANGUAGES), lang).otherwise("other").alias("lang"), F.when(F.col("topic").isin(*topics), F.col("topic")).otherwise("other").alias("topic")
+    d = docs.where(F.col("tokens") > 0).join(topics.select("topic", F.lit(True).alias("_named")), "topic", "left").select(
+        "doc_id", "source", "tokens", F.when(lang.isin(*LANGUAGES), lang).otherwise("other").alias("lang"), F.when(F.col("_named"), F.col("topic")).otherwise("other").alias("topic")
     )
     listed = targets.select("source").distinct()
     d = materialize(d.join(listed, "source", "left_semi"), "sized")
-    cells = d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).toPandas()
+    cells = d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(MOST_CELLS + 1).toPandas()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells of source, language and topic")
     wanted = targets.toPandas()
     made = []
     for mix, t in wanted.groupby("mix_id"):
         r = rake(cells, t[["source", "target_share", "max_repeats"]])
-        made.append(r.assign(mix_id=mix)[["mix_id", "source", "lang", "topic", "copies", "max_repeats", "n"]])
+        made.append(r.assign(mix_id=mix, cell_tokens=r["tokens"])[["mix_id", "source", "lang", "topic", "copies", "max_repeats", "n", "cell_tokens"]])
     for m in made:
         m["n"] = m.groupby("source")["n"].transform("sum")
-    plan = pd.concat(made, ignore_index=True) if made else pd.DataFrame(columns=["mix_id", "source", "lang", "topic", "copies", "max_repeats", "n"])
-    rates = spark.createDataFrame(plan, "mix_id string, source string, lang string, topic string, copies double, max_repeats int, n bigint")
+    plan = pd.concat(made, ignore_index=True) if made else pd.DataFrame(columns=["mix_id", "source", "lang", "topic", "copies", "max_repeats", "n", "cell_tokens"])
+    rates = spark.createDataFrame(plan, "mix_id string, source string, lang string, topic string, copies double, max_repeats int, n bigint, cell_tokens bigint")
     # a stretch has about STRETCH documents however large its source
-    x = d.join(F.broadcast(rates), ["source", "lang", "topic"]).withColumn("stretch", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / STRETCH))))
+    # the rates' size is known to the planner, which sends them to all executors only below its threshold
+    x = d.join(rates, ["source", "lang", "topic"]).withColumn("stretch", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / STRETCH))))
     w = Window.partitionBy("mix_id", "source", "stretch").orderBy("lang", "tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     start = F.pmod(F.xxhash64("mix_id", "source", "stretch"), F.lit(1_000_003)) / 1_000_003
     x = materialize(x.withColumn("upto", F.sum("copies").over(w) + start).select("mix_id", "doc_id", "source", "tokens", "copies", "max_repeats", "upto"), "upto")
@@ -110,16 +115,17 @@ def mixed(docs: DataFrame, targets: DataFrame, topics: list[str]) -> tuple[DataF
     sums = x.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("goal"), *[F.sum(F.col("tokens") * times(F.lit(k / STARTS))).alias(f"s{k}") for k in range(STARTS)])
     gaps = F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("goal")).alias("gap"), F.lit(k / STARTS).alias("shift")) for k in range(STARTS)])
     shifts = sums.select("mix_id", "source", F.array_min(gaps)["shift"].alias("shift"))
-    chosen = x.join(F.broadcast(shifts), ["mix_id", "source"]).withColumn("times", times(F.col("shift"))).where("times > 0")
+    chosen = x.join(shifts, ["mix_id", "source"]).withColumn("times", times(F.col("shift"))).where("times > 0")
     return chosen.select("mix_id", "doc_id", "source", "tokens", F.col("times").cast("int").alias("copies")), rates
 
 
-def _mixed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, root, "documents")
-    topics = [r[0] for r in table(spark, root, "chunking_options").select("kb_id").distinct().orderBy("kb_id").limit(64).collect()]
+    topics = table(spark, root, "chunking_options").where("kb_id IS NOT NULL").select(F.col("kb_id").alias("topic")).distinct()
     sized = counted(docs.where("source IS NOT NULL"), "text", ("doc_id", "source", "lang", "kb_id")).withColumnRenamed("kb_id", "topic")
     targets = table(spark, root, "mix_targets").dropDuplicates(["mix_id", "source"])
-    return mixed(sized, targets, topics)[0], targets
+    chosen, rates = mixed(sized, targets, topics)
+    return chosen, targets, rates
 
 
 def p9_mix(spark: SparkSession, root: str) -> DataFrame:
@@ -128,12 +134,17 @@ def p9_mix(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
-    """Target and reached share of all tokens of each source of each mix."""
-    chosen, targets = _mixed(spark, root)
+    """Target and reached share of all tokens of each source of each mix.
+
+    ``supply`` is what the source holds under its cap of repeats; what the scarcest source of a mix makes
+    the others leave out is the rest of it over ``tokens``.
+    """
+    chosen, targets, rates = _mixed(spark, root)
+    held = rates.groupBy("mix_id", "source").agg(F.sum(F.col("cell_tokens") * F.col("max_repeats")).alias("supply"))
     got = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     whole = Window.partitionBy("mix_id")
-    t = targets.join(got, ["mix_id", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    return t.select("mix_id", "source", "target_share", F.round(F.col("tokens") / F.sum("tokens").over(whole), 6).alias("reached_share"), "tokens", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    t = targets.join(got, ["mix_id", "source"], "left").join(held, ["mix_id", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    return t.select("mix_id", "source", "target_share", F.round(F.col("tokens") / F.sum("tokens").over(whole), 6).alias("reached_share"), "tokens", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("supply", F.lit(0)).alias("supply"))
 
 
 QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}

@@ -97,10 +97,12 @@ def _gbk(first, second) -> str:  # noqa: ANN001
     return _set("".join(x for x in out if len(x) == 1))
 
 
-# Where a sign is missing, its decoding changes nothing for the better.  Signs are looked for among
+# Decodings are tried where their sign is found, as compressing each line by each chain costs a hundred times
+# more.  Signs are wide heuristics, not proofs: what they miss is left as it is.  They are looked for among
 # the characters beyond ASCII and the one before and after each run of them.
 _LATIN = "A-Za-z"
-_HIGH = "[¡-ÿŒœŠšŸŽžƒˆ˜€™]{4}|[\u0080-\u009f]"
+# four in a row, a word of no other letters, or the leading bytes of two-byte encodings in front of one
+_HIGH = "[¡-ÿŒœŠšŸŽžƒˆ˜€™]{4}|(?<![A-Za-z¡-ÿ])[À-ÿ]{2,3}(?![A-Za-z¡-ÿ])|[‚ƒ][\u00a0-ÿŒœŠšŸŽžƒˆ˜€‚-‡‰‹•–—›™]|[\u0080-\u009f]"
 _CAPITALS = "[А-ЯЁ]{3}|[а-яё][А-ЯЁ]"
 SIGNS = {
     ("cp1252", "cp1251"): _HIGH,
@@ -123,6 +125,9 @@ SIGNS = {
     ("mac_roman", "utf-8"): "",
     ("cp437", "utf-8"): "",
     ("cp850", "utf-8"): "",
+    ("cp1250", "utf-8"): "",
+    ("cp1253", "utf-8"): "",
+    ("cp1254", "utf-8"): "",
     # most letters of these stand for bytes that follow, so a sign needs one that clean text lacks
     ("cp1251", "utf-8"): "[РС][Ђ-Џђ-џ‚„†‡€‰‹•™›¤¦§©¬®°±µ¶·]|[ВГ][Ђ-Џђ-џ©«°±§µ]|вЂ",
     ("koi8-r", "utf-8"): "[пяцбБДЕФГХИО][─-■°²·÷]",

@@ -19,7 +19,7 @@ def test_graph_finds_nearly_all_neighbours(spark):
     x, df = vectors(spark)
     n = p4.nodes(df, "key", "v", "version")
     assert n.count() == len(x)
-    got = p4.nearest(n, p4.neighbour_graph(n, trees=4, block=128, rounds=2), 10)
+    got = p4.nearest(n, p4.neighbour_graph(n, trees=4, leaf=128, rounds=2), 10)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
@@ -31,7 +31,7 @@ def test_graph_finds_nearly_all_neighbours(spark):
 def test_identical_vectors_and_few(spark):
     rows = [(f"k{i:03d}", 1, [1.0] + [0.0] * 63) for i in range(300)]
     n = p4.nodes(spark.createDataFrame(rows, "key string, version int, v array<double>"), "key", "v", "version")
-    got = p4.nearest(n, p4.neighbour_graph(n, trees=2, block=64, rounds=1), 10, 0.85).collect()
+    got = p4.nearest(n, p4.neighbour_graph(n, trees=2, leaf=64, rounds=1), 10, 0.85).collect()
     assert {r.key_a for r in got} == {r[0] for r in rows} and all(r.cosine > 0.999 for r in got)
     none = p4.nodes(spark.createDataFrame([], "key string, version int, v array<double>"), "key", "v", "version")
     assert p4.nearest(none, p4.neighbour_graph(none, trees=1, rounds=1), 10).count() == 0
@@ -111,24 +111,36 @@ def test_a_large_family_of_edited_copies_is_linked_throughout(spark):
 
 def test_parts_of_a_hot_cell_all_meet(spark):
     r = np.random.default_rng(1)
-    base = r.integers(0, 256, (4, 64), dtype=np.uint8)
-    sig = [np.where(r.random(64) < 0.8, base[k % 4], r.integers(0, 256, 64)).astype(np.uint8) for k in range(250)]
+    base = r.integers(0, 9, (4, 64), dtype=np.uint8)
+    sig = np.stack([np.where(r.random(64) < 0.8, base[k % 4], r.integers(0, 9, 64)).astype(np.uint8) for k in range(250)])
     members = spark.createDataFrame([(7, k) for k in range(250)] + [(8, k) for k in range(3)], "cell bigint, cls bigint")
     sigs = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sig)], "cls bigint, sig binary")
-    true = {(a, b) for a in range(250) for b in range(a + 1, 250) if (sig[a] == sig[b]).sum() >= p6.AGREE}
+    true = {(a, b) for a in range(250) for b in range(a + 1, 250) if p6.manhattan(sig[a], sig[b]) <= p6.RADIUS}
+    assert 0 < len(true) < 250 * 249 // 2
     for part in (20, 1000):
         assert {tuple(sorted(x)) for x in p6.hot_pairs(members, sigs, part).collect()} == true
-    assert p6.sieve_loss(0.6) < 1e-7
+    every = spark.createDataFrame([(a, b) for a in range(250) for b in range(a + 1, 250)], "cls_a bigint, cls_b bigint")
+    assert {tuple(x) for x in p6.near(every, sigs).collect()} == true
 
 
 def test_manhattan_is_a_lower_bound():
     r = np.random.default_rng(0)
-    a, b = (r.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(2))
-    x, y = p6.segment_counts(a), p6.segment_counts(b)
-    bits = np.array([int(v).bit_count() for v in a ^ b])
-    assert (p6.manhattan(x & np.uint64(0x0707070707070707), y & np.uint64(0x0707070707070707)) <= bits + 8).all()
-    assert [int(v).bit_count() for v in a] == [sum(int(c) >> s & 255 for s in range(0, 64, 8)) for c in x]
-    assert p6.recall(0.8) > 0.999 and p6.recall(0.6) > 0.85
+    a, b = (r.integers(0, 2**32, (500, 64), dtype=np.uint32) for _ in range(2))
+    b = np.where(r.random(a.shape) < 0.6, a, b)
+    bits = np.array([[int(v).bit_count() for v in x] for x in p6.fingerprint(a) ^ p6.fingerprint(b)]).sum(axis=1)
+    d = p6.manhattan(p6.embedded(a), p6.embedded(b))
+    assert (d <= bits).all() and (d <= p6.RADIUS).mean() > 0.99
+    assert p6.recall(0.8) > 0.999 and p6.recall(0.6) > 0.85 and p6.sieve_loss(0.6) < 3e-4
+
+
+def test_groups_are_whole_and_name_every_member(spark, tmp_path):
+    docs = [(k, t) for k, t in enumerate([*edits(120).values(), *edits(3, 9).values(), "alone " * 40])] + [(500, BASE + "1"), (501, BASE + "1"), (502, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("c1", BASE + "1")], "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.key: r for r in p6.p6_groups(spark, str(tmp_path)).collect()}
+    assert set(got) == {str(k) for k in (*range(123), 500, 501)}
+    assert len({got[str(k)].group_id for k in range(120)}) == 1 and len({r.group_id for r in got.values()}) == 3
+    assert got["500"].rep == "500" and got["500"].copies == 2 and got["500"].n_links == 0 and got["0"].n_links > 10
 
 
 CLEAN = {

@@ -120,7 +120,38 @@ def test_mix_repeats_within_the_cap(spark):
     rows = [(k, ["a", "b", "c", None][k % 4], ["en", "DE", None][k % 3], ["t", "u"][k % 2], int(r.integers(0, 300)) if k % 50 else None) for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, tokens int")
     targets = spark.createDataFrame([("m", "a", 0.6, 2), ("m", "b", 0.3, 1), ("m", "none", 0.1, 3)], "mix_id string, source string, target_share double, max_repeats int")
-    got = p9.mixed(docs, targets, ["t"])[0].toPandas()
+    topics = spark.createDataFrame([("t",)], "topic string")
+    got = p9.mixed(docs, targets, topics)[0].toPandas()
     share = (got.tokens * got.copies).groupby(got.source).sum() / (got.tokens * got.copies).sum()
     assert abs(share["a"] - 2 / 3) < 0.01 and got[got.source == "a"].copies.max() <= 2 and got[got.source == "b"].copies.max() == 1 and not got.duplicated(["mix_id", "doc_id"]).any()
-    assert p9.mixed(docs.limit(0), targets, ["t"])[0].count() == 0
+    assert p9.mixed(docs.limit(0), targets, topics)[0].count() == 0
+
+
+def test_a_long_document_comes_out_in_one_series(spark, monkeypatch):
+    rows = []
+    for k in range(40):
+        text = [f"page {k} begins a line of text that goes on", f"and is continu-" if k % 3 == 0 else "and ends here"]
+        rows.append((7, f"7#{k}", 1 + k, "\n".join([f"{k}", *text])))
+    rows += [(7, "7#9999", 1000, "7"), (7, "7#10000", 1001, "ed to the last."), (8, "8#1", 1, "alone")]
+    df = spark.createDataFrame(rows, "doc_id bigint, atom_id string, page int, text string")
+
+    def series(window):
+        monkeypatch.setattr(p7, "WINDOW", window)
+        pages = p7.ordered(df)
+        assert [r.atom_id for r in pages.where("doc_id = 7").orderBy("no").collect()] == [r[1] for r in rows[:-1]]
+        of = p7._by_window(pages, p7._edges, "doc_id bigint, atom_id string, line int, f array<double>, words array<string>", p7.REACH).collect()
+        lines = pages.select("doc_id", "atom_id", "no", p7.F.posexplode(p7.F.split("text", "\n")).alias("line_no", "line"))
+        lines = lines.where("NOT line RLIKE '^[0-9]+$'").selectExpr("*", "CAST(NULL AS map<string,string>) AS fix", "CASE WHEN line LIKE '%-' THEN 'continu' END AS part_a", "CAST(NULL AS boolean) AS compound")
+        return sorted(map(str, of)), sorted(map(tuple, p7.paragraphs(lines).collect()))
+
+    small, large = series(3), series(64)
+    assert small == large
+    assert [r[1] for r in small[1]] == [0, 0] and "is continupage 1 begins" in small[1][0][2]
+
+
+def test_line_pairs_are_judged():
+    words = "retrieval gateway supplier maintenance window technician refreshes calibration evaluation harness annotates rotates several failed section audit vector".split()
+    model = p7.fit_pairs([("und", 0.5), ("or", 0.5), ("and", 0.4)] + [(w, 0.01) for w in words])
+    p = lambda *f: float(model.probability(np.array([p7._pair_features(*f)]))[0])
+    assert p("gate", "way", 0.01, 0.0, 0.0, 0.0) > 0.5 and p("calibra", "tion", 0.0, 0.0, 0.0, 0.0) > 0.5 and p("window", "audit", 0.0, 1e-3, 0.01, 0.01) > 0.5
+    assert p("lese", "und", 0.0, 0.0, 0.0, 0.5) < 0.5
