@@ -34,6 +34,8 @@ EDGE = 3
 HYPHENS = "-‐‑­¬"
 #: Pages of a window, pages at either side that lines at a page's ends are compared with.
 WINDOW, REACH = 64, 4
+#: Probability of going on below which a hyphen hangs: nearly all hyphens at a line's end break a word.
+HANGS = 0.25
 WORD = r"[\p{L}\p{N}@]+(?:['’\-][\p{L}\p{N}@]+)*"
 _WORD = re.compile(r"[^\W_@]+(?:@[^\W_]*)*(?:['’\-][^\W_]+)*|@[^\W_@]+")
 
@@ -450,7 +452,7 @@ def _only_broken(paired: DataFrame, known: DataFrame, model: Boost) -> DataFrame
             if len(pdf):
                 k = pdf[["k1", "k2", "k3", "k4"]].fillna(0.0).to_numpy()
                 x = np.array([_pair_features(a, b, *v) for a, b, v in zip(pdf["a"], pdf["part_b"], k, strict=True)])
-                yield pdf.loc[model.probability(x) < 0.5, ["atom_id", "line_no"]]
+                yield pdf.loc[model.probability(x) < HANGS, ["atom_id", "line_no"]]
 
     hanging = looked.select("atom_id", "line_no", "a", "part_b", "k1", "k2", "k3", "k4").mapInPandas(judge, "atom_id string, line_no int").withColumn("_h", F.lit(1))
     out = paired.join(hanging, ["atom_id", "line_no"], "left")
