@@ -22,7 +22,7 @@ DIM, K = 64, 10
 #: Neighbours kept while building; trees; rows of a leaf; links that a node brings together in a round
 #: (its own first, then links back to it, drawn anew in each round).
 KEEP, TREES, LEAF, MEET = 20, 8, 512, 64
-#: Rounds end after ROUNDS, or when less than this share of all edges is new.
+#: Rounds end after ROUNDS, or when less than this share of the edges is new.
 ROUNDS, STILL = 4, 0.03
 #: Rows that are split by trees in one task at once; rows of a part of the node table.
 STRETCH, PART = 8192, 4096
@@ -322,8 +322,11 @@ def descend(graph: DataFrame, n: DataFrame, keep: int, meet: int, turn: int = 0,
     return adj.groupBy("part").cogroup(sent.groupBy("to")).applyInArrow(compare, EDGES)
 
 
-def neighbour_graph(n: DataFrame, keep: int = KEEP, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, meet: int = MEET, still: float = STILL) -> DataFrame:
-    """src, dst, sim and fresh (lists, nearest first) of every node: the graph of ``keep`` near neighbours."""
+def neighbour_graph(n: DataFrame, keep: int = KEEP, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, meet: int = MEET, still: float = STILL, least: float = -1.0) -> DataFrame:
+    """src, dst, sim and fresh (lists, nearest first) of every node: the graph of ``keep`` near neighbours.
+
+    Rounds end when less than ``still`` of the edges of a cosine of ``least`` or more are new.
+    """
     rows = n.count()
     graph = materialize(best(forest(n, rows, trees, leaf, min(keep, 10)), keep), "graph")
     for turn in range(rounds):
@@ -331,8 +334,9 @@ def neighbour_graph(n: DataFrame, keep: int = KEEP, trees: int = TREES, leaf: in
         better = materialize(best(known.unionByName(descend(graph, n, keep, meet, turn)), keep), "graph")
         drop_materialized(n.sparkSession, graph)
         graph = better
-        new = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
-        if new < still * rows * keep:
+        near = F.filter(F.arrays_zip("sim", "fresh"), lambda e: e["sim"] >= least)
+        new, every = graph.agg(F.sum(F.size(F.filter(near, lambda e: e["fresh"]))), F.sum(F.size(near))).first()
+        if (new or 0) <= still * (every or 0):
             break
     return graph
 
@@ -412,7 +416,7 @@ def _vectors(spark: SparkSession, root: str) -> DataFrame:
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of chunks of a cosine of at least 0.85, one among the 10 most similar to the other."""
     n = _vectors(spark, root)
-    near = nearest(n, neighbour_graph(n), K, LEAST)
+    near = nearest(n, neighbour_graph(n, least=LEAST), K, LEAST)
     return near.select(F.least("key_a", "key_b").alias("chunk_a"), F.greatest("key_a", "key_b").alias("chunk_b")).distinct()
 
 
