@@ -1,6 +1,10 @@
 import datetime as dt
+from dataclasses import replace
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.operators import agentic, caching, graph, ingest, ledger, observe, predicate, search, texts
@@ -72,19 +76,84 @@ def test_text_functions(spark):
 
 
 def test_parser_keeps_fences_tables_and_paths():
-    s = ingest.sections("# A\ntext\n### B\n| x |\n|---|\nmore\n```\n# no\n```\n## C\nend", True)
-    assert s == [("text", "A"), ("| x |\n|---|\nmore\n```\n# no\n```", "A > B"), ("end", "A > C")]
-    assert ingest.to_atoms("", True) == [] and len(ingest.to_atoms(("Word " * 400 + ". ") * 3, True)) == 3
-
-
-def test_chunks_group_overlap_and_quarantine(spark):
+    text = "# A\ntext\n### B\n| x |\n|---|\nmore\n```\n# no\n```\n## C\nend\n##### deep\n# D\n| y |"
+    assert ingest.sections(text, True) == [("text", "A"), ("| x |\n|---|\nmore\n```\n# no\n```", "A > B"), ("end\n##### deep", "A > C"), ("| y |", "D")]
+    assert {p for _, p in ingest.sections(text, False)} == {""} and ingest.sections("", True) == [] == ingest.sections(" \n\n", True)
+
+
+@given(st.lists(st.integers(1, 30), max_size=40), st.lists(st.floats(0, 1), min_size=40, max_size=40))
+def test_groups_equal_a_running_sum(sizes, like):
+    o = ingest.ChunkOptions(target_tokens=40, max_tokens=60, min_tokens=10)
+    want, now = [], 0
+    for n, s in zip(sizes, like, strict=False):
+        if not want or now + n > 60 or (now >= 40 and s < 0.65) or s < 0.65 * 0.7:
+            want.append([])
+            now = 0
+        want[-1].append(n)
+        now += n
+    flat = [k for k, g in enumerate(want) for _ in g]
+    like = np.array(like[: len(sizes)])
+    assert list(ingest.group_numbers(np.array(sizes, int), like, replace(o, merge_short_chunks=False))) == flat
+    joined = want[:1]
+    for g in want[1:]:
+        joined = [*joined[:-1], joined[-1] + g] if sum(g) < 10 else [*joined, g]
+    assert list(ingest.group_numbers(np.array(sizes, int), like, o)) == [k for k, g in enumerate(joined) for _ in g]
+    ends = ingest.cuts(np.array(sizes, int), 25, 28)
+    parts = [sizes[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    assert sum(parts, []) == sizes and all(sum(p) <= 25 or len(p) == 1 for p in parts) and all(sum(p) + q[0] > 25 or q[0] > 28 or p[0] > 28 for p, q in zip(parts, parts[1:], strict=False))
+
+
+def test_paragraphs_are_packed_and_oversized_ones_cut(spark):
+    one = lambda n: "word " * (n - 1) + "end."
+    texts = ["\n\n".join([one(200), one(150), one(100), one(300), one(5)]), " ".join([one(400)] * 3) + "\n\nafter", "", None, "x" * 100_000]
+    d = spark.createDataFrame([(k, "text/plain", t) for k, t in enumerate(texts)] + [(9, "image/png", "t"), (8, None, "t")], "doc_id bigint, mimetype string, text string")
+    atoms, rejects = ingest.parse(d)
+    got = {}
+    for r in atoms.orderBy("doc_id", "seq").collect():
+        assert r.atom_id == f"{r.doc_id}#{r.seq:04d}" and r.context == "" and r.page == 1
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got[0] == ["\n\n".join([one(200), one(150)]), "\n\n".join([one(100), one(300), one(5)])]
+    assert got[1] == [one(400)] * 3 + ["after"] and got[4] == [texts[4]] and set(got) == {0, 1, 4}
+    assert {(r.doc_id, r.code) for r in rejects.collect()} == {(8, 2002), (9, 2002)}
+    assert ingest.parse(d.limit(0))[0].count() == 0
+
+
+CHUNK_ATOMS = "atom_id string, doc_id bigint, type string, text string, page int, context string"
+
+
+def test_chunks_group_overlap_and_fail_by_document(spark):
     o = ingest.ChunkOptions(target_tokens=40, max_tokens=60, min_tokens=5)
-    assert ingest.grouped(["w " * 50, "w " * 20, "w " * 3], [1, 1, 1], o) == [[0], [1, 2]]
-    assert ingest.grouped(["w " * 10, "w " * 10], [1, 0.1], o) == [[0], [1]] and ingest.tail(["a b! c d!"], 2) == [" c d!"]
-    a = spark.createDataFrame([("1#0", 1, "text", "One two three!", 1, "H"), ("1#1", 1, "table", "|a|\n|-|\n|1|", 1, "H"), ("1#2", 1, "text", "word " * 200, 2, None), ("1#3", 1, "image", None, None, None)], "atom_id string, doc_id bigint, type string, text string, page int, context string")
+    a = spark.createDataFrame([("1#0", 1, "text", "One two three!", 1, "H"), ("1#1", 1, "table", "|a|\n|-|\n|1|", 1, "H"), ("1#3", 1, "image", None, None, None), ("1#4", 1, "formula", "x", None, None), ("2#0", 2, "text", "word " * 200, 2, None), ("2#1", 2, "text", "small", 3, None), ("z", None, "text", "no document", 1, None)], CHUNK_ATOMS)
     good, large = ingest.chunk(a, o)
-    assert {r.text for r in good.collect()} == {"[H]\nOne two three!", "[H]\n|a|\n|-|\n|a|\n|-|\n|1|", "[image]"} and [r.code for r in large.collect()] == [3003]
+    assert {r.text for r in good.collect()} == {"[H]\nOne two three!", "[H]\n|a|\n|-|\n|a|\n|-|\n|1|", "[图片]", "$$x$$"} and [(r.doc_id, r.code) for r in large.collect()] == [(2, 3003)]
     assert ingest.chunk(a.limit(0), o)[0].count() == 0
+    named = spark.createDataFrame([("1#3", "a chart"), ("1#4", "a letter")], "atom_id string, description string")
+    assert {"[图片] a chart", "[公式描述] a letter\n$$x$$"} < {r.text for r in ingest.chunk(a, o, descriptions=named)[0].collect()}
+
+
+def test_chunks_follow_the_running_sum_and_the_likeness(spark):
+    o = ingest.ChunkOptions(target_tokens=40, max_tokens=60, min_tokens=5, overlap_ratio=0.1)
+    sizes = [50, 20, 3, 45, 30, 10]
+    a = spark.createDataFrame([(f"1#{k}", 1, "text", "w " * (n - 2) + f"t{k}! e{k}!", 1, None) for k, n in enumerate(sizes)], CHUNK_ATOMS)
+    tokens = [ingest_tokens(spark, r.text) for r in a.orderBy("atom_id").collect()]
+    want, now = [], 0
+    for k, n in enumerate(tokens):
+        if not want or now + n > o.max_tokens:
+            want.append([])
+            now = 0
+        want[-1].append(k)
+        now += n
+    got = sorted(([int(i[2:]) for i in r.atom_ids], r.text) for r in ingest.chunk(a, o)[0].collect())
+    assert [x for x, _ in got] == want and all(f" e{x[0][-1]}!" in y[1] for x, y in zip(got, got[1:], strict=False))
+    v = spark.createDataFrame([(f"1#{k}", [1.0, 0.0] if k < 2 else [0.0, 1.0]) for k in range(6)], "atom_id string, v array<double>")
+    small = a.withColumn("text", F.lit("six words of a small atom"))
+    assert sorted(r.atom_ids for r in ingest.chunk(small, o, vectors=v)[0].collect()) == [["1#0", "1#1"], ["1#2", "1#3", "1#4", "1#5"]]
+
+
+def ingest_tokens(spark, text):
+    from lodestone.functions.text import token_count
+
+    return spark.createDataFrame([(text,)], "t string").select(token_count(F.col("t"))).first()[0]
 
 
 def test_upsert_is_idempotent_and_versions_guard(spark):
