@@ -7,11 +7,13 @@ counts are taken from the state per table and period.
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.session import shared_dir
 from lodestone.sources.tables import table
 
 REFS = "tbl string, rec_id string, key string, ts timestamp"
@@ -19,10 +21,12 @@ PARENTS = "key string, created_at timestamp, deleted_at timestamp"
 
 
 class OrphanState(NamedTuple):
-    """``parents``: one row per key; ``refs``: tbl, rec_id, key, ts, kind (null while settled)."""
+    """``parents``: key, created_at, deleted_at; ``pending``: tbl, rec_id, key, ts, kind of the references that do not
+    hold; ``settled``: tbl, rec_id, key, ts of those that held when they were last looked at (a log; ``pending`` decides)."""
 
     parents: DataFrame
-    refs: DataFrame
+    pending: DataFrame
+    settled: DataFrame
 
 
 def kind_of(created_at: Column, deleted_at: Column, found: Column, ts: Column) -> Column:
@@ -42,88 +46,130 @@ def probe(refs: DataFrame, parents: DataFrame) -> DataFrame:
     return refs.join(p, "key", "left").select("tbl", "rec_id", "key", "ts", kind_of(F.col("_c"), F.col("_d"), F.col("_f"), F.col("ts")).alias("kind"))
 
 
-def advance(state: OrphanState | None, refs: DataFrame, parents: DataFrame) -> OrphanState:
-    """The state after a batch of references and of parent rows (created, or deleted by ``deleted_at``).
+class Step(NamedTuple):
+    """What a batch changes: its parents, all that is pending after it, and the references it settles."""
+
+    parents: DataFrame
+    pending: DataFrame
+    settled: DataFrame
+
 
-    Only references to keys of the batch are probed again; the others keep their kind.  References
-    with a null key do not count; repeated references count once, in :func:`orphans`.  Any split
-    of the same rows into batches leads to the same state.
+def step(state: OrphanState | None, refs: DataFrame, parents: DataFrame) -> Step:
+    """The change that a batch of references and of parent rows (created, or deleted by ``deleted_at``) makes.
+
+    New references probe the parents known so far and those of the batch; pending ones are looked at again where
+    the batch has their parent; settled ones are reopened where it deletes their parent.  All others keep
+    their kind and are not moved.  References with a null key or rec_id do not count; repeated ones count once.
     """
     refs = refs.select("tbl", "rec_id", "key", "ts").where(F.col("key").isNotNull() & F.col("rec_id").isNotNull())
+    new = index(parents)
     if state is None:
-        known = index(parents)
-        return OrphanState(known, probe(refs, known))
-    known = index(state.parents.unionByName(parents.select("key", "created_at", "deleted_at")))
-    touched = refs.select("key").union(parents.select("key")).distinct()
-    again = state.refs.join(touched, "key", "left_semi").select("tbl", "rec_id", "key", "ts").unionByName(refs)
-    kept = state.refs.join(touched, "key", "left_anti").select("tbl", "rec_id", "key", "ts", "kind")
-    return OrphanState(known, kept.unionByName(probe(again, known)))
+        looked, kept = probe(refs, new), None
+    else:
+        known = index(state.parents.unionByName(new))
+        waiting = state.pending.join(new.select("key"), "key", "left_semi").select("tbl", "rec_id", "key", "ts")
+        reopened = state.settled.join(new.where("deleted_at IS NOT NULL").select("key"), "key", "left_semi").select("tbl", "rec_id", "key", "ts")
+        looked = probe(refs.unionByName(waiting).unionByName(reopened), known)
+        kept = state.pending.join(new.select("key"), "key", "left_anti").select("tbl", "rec_id", "key", "ts", "kind")
+    open_ = looked.where(F.col("kind").isNotNull())
+    return Step(new, (open_ if kept is None else kept.unionByName(open_)).distinct(), looked.where(F.col("kind").isNull()).drop("kind").distinct())
+
+
+def advance(state: OrphanState | None, refs: DataFrame, parents: DataFrame) -> OrphanState:
+    """The state after a batch (see :func:`step`).  Any split of the same rows into batches leads to the same orphans."""
+    d = step(state, refs, parents)
+    if state is None:
+        return OrphanState(*d)
+    return OrphanState(state.parents.unionByName(d.parents), d.pending, state.settled.unionByName(d.settled))
 
 
 def orphans(state: OrphanState) -> DataFrame:
     """tbl, rec_id, kind of each record whose reference does not hold."""
-    return state.refs.where(F.col("kind").isNotNull()).select("tbl", "rec_id", "kind").distinct()
+    return state.pending.select("tbl", "rec_id", "kind").distinct()
 
 
 def snapshot(state: OrphanState, period: str = "month") -> DataFrame:
     """Orphans per table, period of the record and kind."""
-    one = state.refs.where(F.col("kind").isNotNull()).groupBy("tbl", "rec_id", "kind").agg(F.min("ts").alias("ts"))
+    one = state.pending.groupBy("tbl", "rec_id", "kind").agg(F.min("ts").alias("ts"))
     return one.groupBy("tbl", F.date_format(F.date_trunc(period, "ts"), "yyyy-MM-dd").alias("period"), "kind").agg(F.count("*").alias("n_orphans"))
 
 
 class OrphanTracker:
-    """The state as tables in a shared folder, one folder per batch; made for ``foreachBatch``.
+    """The state as tables in a shared folder; made for ``foreachBatch``.
 
-    A batch that is applied again (after a restart) starts from the state before it and overwrites
-    its own folder, so that it counts once.
+    Each batch (numbered from 0, without gaps) adds its parents and the references that it settled, and writes what is
+    pending anew.  A batch that is applied again (after a restart) starts from the state before it and
+    overwrites its own folders, so that it counts once.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _at(self, batch: int) -> str:
-        return f"{self.folder}/batch={batch:09d}"
+    def _at(self, part: str, batch: int) -> str:
+        return f"{self.folder}/{part}-{batch:09d}"
 
-    def _exists(self, batch: int) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._at(batch)}/refs/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _path(self, at: str):  # noqa: ANN202
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def load(self, batch: int) -> OrphanState | None:
-        if batch < 0 or not self._exists(batch):
-            return None
-        return OrphanState(self.spark.read.parquet(f"{self._at(batch)}/parents"), self.spark.read.parquet(f"{self._at(batch)}/refs"))
+    def load(self, batch: int) -> OrphanState:
+        """The state after a batch; an error if it was not applied or its pending rows are no longer kept."""
+        path, fs = self._path(f"{self._at('pending', batch)}/_SUCCESS")
+        if batch < 0 or not fs.exists(path):
+            raise ValueError(f"there is no state of batch {batch}")
+        every = lambda part: self.spark.read.parquet(*[self._at(part, k) for k in range(batch + 1)])
+        return OrphanState(every("parents"), self.spark.read.parquet(self._at("pending", batch)), every("settled"))
 
     def apply(self, batch: int, refs: DataFrame, parents: DataFrame) -> OrphanState:
-        new = advance(self.load(batch - 1), refs, parents)
-        new.parents.write.mode("overwrite").parquet(f"{self._at(batch)}/parents")
-        OrphanState(self.spark.read.parquet(f"{self._at(batch)}/parents"), new.refs).refs.write.mode("overwrite").parquet(f"{self._at(batch)}/refs")
+        new = step(self.load(batch - 1) if batch else None, refs, parents)
+        for part, rows in (("parents", new.parents), ("settled", new.settled), ("pending", new.pending)):
+            rows.write.mode("overwrite").parquet(self._at(part, batch))
+        if batch > 1:  # a replay needs the state before the last batch only
+            path, fs = self._path(self._at("pending", batch - 2))
+            fs.delete(path, True)
         return self.load(batch)
 
 
-def _state(spark: SparkSession, root: str) -> tuple[OrphanState, OrphanState]:
-    docs = table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("key"), "created_at", "deleted_at")
-    tasks = table(spark, root, "tasks")
+#: Periods in which the tables are fed to the tracker, before the deletions.
+PERIODS = 3
+
+
+def _fed(spark: SparkSession, root: str) -> OrphanState:
+    """The state after all references and parents came in by period, and the deletions last."""
+    docs = table(spark, root, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), "created_at", "deleted_at")
+    tasks = table(spark, root, "tasks").select(F.concat(F.lit("t"), "task_id").alias("key"), "created_at", F.lit(None).cast("timestamp").alias("deleted_at"))
+    parents = docs.unionByName(tasks)
+
+    def refs_of(name: str, rec: str, mark: str, key: str, ts: str) -> DataFrame:
+        return table(spark, root, name).select(F.lit(name).alias("tbl"), F.expr(rec).alias("rec_id"), F.concat(F.lit(mark), F.col(key)).alias("key"), F.col(ts).alias("ts"))
+
+    refs = refs_of("atoms", "atom_id", "d", "doc_id", "created_at")
+    for of in (("chunks", "chunk_id", "d", "doc_id", "created_at"), ("tasks", "task_id", "d", "doc_id", "created_at"), ("checkpoints", "task_id || ':' || stage", "t", "task_id", "started_at")):
+        refs = refs.unionByName(refs_of(*of))
+    # rows of before the first and after the last of these times are fed in the first and the last period
+    lo, hi = parents.agg(F.min("created_at"), F.max("created_at")).first()
+    times = [lo + (hi - lo) * k / PERIODS for k in range(1, PERIODS)] if lo else []
 
-    def refs(name: str, rec: str, key: str = "doc_id", ts: str = "created_at") -> DataFrame:
-        t = table(spark, root, name)
-        return t.select(F.lit(name).alias("tbl"), F.expr(rec).alias("rec_id"), F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"))
+    def in_period(df: DataFrame, ts: str, k: int) -> DataFrame:
+        from_ = F.lit(True) if k == 0 else F.col(ts) >= F.lit(times[k - 1])
+        to = F.lit(True) if k == len(times) else F.col(ts) < F.lit(times[k])
+        return df.where((from_ & to) | F.col(ts).isNull() if k == 0 else from_ & to)
 
-    to_docs = refs("atoms", "atom_id").unionByName(refs("chunks", "chunk_id")).unionByName(refs("tasks", "task_id"))
-    to_tasks = refs("checkpoints", "task_id || ':' || stage", "task_id", "started_at")
-    of_tasks = tasks.select(F.col("task_id").alias("key"), "created_at", F.lit(None).cast("timestamp").alias("deleted_at"))
-    return advance(None, to_docs, docs), advance(None, to_tasks, of_tasks)
+    tracker = OrphanTracker(spark, f"{shared_dir(spark)}/lodestone/orphans-{uuid.uuid4().hex}")
+    created = parents.withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    for k in range(len(times) + 1):
+        tracker.apply(k, in_period(refs, "ts", k), in_period(created, "created_at", k))
+    return tracker.apply(len(times) + 1, refs.limit(0), parents.where("deleted_at IS NOT NULL"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    """Records of atoms, chunks, tasks and checkpoints whose reference does not hold."""
-    a, b = _state(spark, root)
-    return orphans(a).unionByName(orphans(b))
+    """Records of atoms, chunks, tasks and checkpoints whose reference does not hold, as the tracker has them in the end."""
+    return orphans(_fed(spark, root))
 
 
 def p5_periods(spark: SparkSession, root: str) -> DataFrame:
-    """Orphans per table, month and kind."""
-    a, b = _state(spark, root)
-    return snapshot(a).unionByName(snapshot(b))
+    """Orphans per table, month and kind, as the tracker has them in the end."""
+    return snapshot(_fed(spark, root))
 
 
 QUERIES = {"p5_found": p5_found, "p5_periods": p5_periods}

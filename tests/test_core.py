@@ -39,7 +39,7 @@ def test_any_split_into_batches_gives_the_same_orphans(spark):
     state = None
     for k in range(3):
         state = advance(state, refs.where(F.pmod(F.col("rec_id").cast("int"), F.lit(3)) == k), parents.where(F.pmod(F.hash("key", "deleted_at"), F.lit(3)) == k))
-        state = OrphanState(spark.createDataFrame(state.parents.collect(), state.parents.schema), spark.createDataFrame(state.refs.collect(), state.refs.schema))
+        state = OrphanState(*[spark.createDataFrame(x.collect(), x.schema) for x in state])
     assert rows(orphans(state)) == whole
 
 
@@ -53,6 +53,8 @@ def test_tracker_resolves_reopens_and_replays(spark, tmp_path):
     for _ in range(2):  # a batch that is applied again counts once
         t.apply(2, none_r, spark.createDataFrame([("p", at(0), at(3))], PARENTS))
     assert rows(orphans(t.load(2))) == {("a", "1", "deleted")}
+    with pytest.raises(ValueError):
+        t.apply(4, none_r, none_p)
 
 
 def test_filter_language(spark):
