@@ -46,7 +46,7 @@ def q_semantic_cache(spark: SparkSession, root: str) -> DataFrame:
 
 def q_cache_keys(spark: SparkSession, root: str) -> DataFrame:
     """Cache keys of file names: hash of the raw text against hash of the normal form."""
-    d = table(spark, root, "documents").where(F.col("filename").rlike("^[\\x20-\\x7E]+$"))
+    d = table(spark, root, "documents").where("filename IS NOT NULL")
     return d.groupBy("kb_id").agg(F.count_distinct(F.sha2("filename", 256)).alias("raw_keys"), F.count_distinct(F.sha2(normalized_query(F.col("filename")), 256)).alias("normal_keys"))
 
 
@@ -59,5 +59,5 @@ _NQ = f"array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_
 ORACLE = {
     "exact_cache_ttl": """SELECT event_type, count(*) AS n, count(*) FILTER (epoch_us(ts) - epoch_us(p) <= 86400000000) AS hits FROM (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type, props ORDER BY ts) AS p FROM events) GROUP BY 1""",
     "semantic_cache_lookup": f"SELECT query_id, min_by(item_id, rank) AS answer, max(score) AS score FROM ({_dense_sql(4, '')}) WHERE score >= 0.3 GROUP BY 1",
-    "cache_keys": f"SELECT kb_id, count(DISTINCT sha256(filename)) AS raw_keys, count(DISTINCT sha256({_NQ})) AS normal_keys FROM documents WHERE regexp_full_match(filename, '[\\x20-\\x7E]+') GROUP BY 1",
+    "cache_keys": f"SELECT kb_id, count(DISTINCT sha256(filename)) AS raw_keys, count(DISTINCT sha256({_NQ})) AS normal_keys FROM documents WHERE filename IS NOT NULL GROUP BY 1",
 }

@@ -22,7 +22,7 @@ def markdown_table(rows: Column) -> Column:
     """A pipe table of an array of rows, the first as header; line breaks in cells become blanks."""
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.array_join(F.transform(F.get(rows, F.lit(0)), lambda _: F.lit("---")), "|"), F.lit("|"))
-    return F.concat_ws("\n", line(F.get(rows, F.lit(0))), rule, F.array_join(F.transform(F.slice(rows, 2, 1_000_000), line), "\n"))
+    return F.concat_ws("\n", line(F.get(rows, F.lit(0))), rule, F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), line), "\n"))
 
 
 def q_kb_listing(spark: SparkSession, root: str) -> DataFrame:

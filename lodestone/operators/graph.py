@@ -5,14 +5,10 @@ Entities and relations are two DataFrames; the bridge of chunks to entities is a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.session import materialize, parallelism
+from lodestone.plans.session import drop_materialized, materialize
 from lodestone.sources.tables import table
 
 # Patterns and thresholds of the rule extraction.
@@ -22,8 +18,8 @@ PHRASE = "[\\u4e00-\\u9fff]{2,6}(?:[\\u4e00-\\u9fff、， ]+[\\u4e00-\\u9fff]{1,
 IS_A = "([\\u4e00-\\u9fffA-Za-z]{2,20})\\s*是\\s*([\\u4e00-\\u9fffA-Za-z]{2,20})"
 OF_IS = "([\\u4e00-\\u9fff]{2,10})\\s*的\\s*([\\u4e00-\\u9fff]{2,10})\\s*是\\s*([\\u4e00-\\u9fff]{2,20})"
 CONFIDENCE, CONFIDENCE_MIN, SAME_AS = 0.55, 0.5, 0.92
-#: Nodes of a component up to which communities come from greedy modularity; larger ones get labels spread.
-GREEDY_UP_TO = 300
+#: Rounds of moves on a level and levels of contraction end when less than this share of the nodes moves, at these numbers at the latest.
+STILL, ROUNDS, LEVELS = 0.002, 16, 6
 
 
 def entity_names(text: Column) -> Column:
@@ -100,87 +96,85 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node): labels are handed on over edges and over labels, so a round
-    at least doubles the distance that they cover; lineage is cut in each round."""
+    at least doubles the distance that they cover; lineage is cut in each round, and rounds end when no label changes."""
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct(), "edges")
     label = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")), "labels")
-    for _ in range(most):
+    while True:
         near = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
         own = label.join(near, "u").select("u", F.least("c", "m").alias("c"))
         # from a label to that node's own label
         jumped = own.alias("x").join(own.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c", "left").select("u", F.least(F.col("c"), F.coalesce("cc", "c")).alias("c"))
         new = materialize(jumped, "labels")
         changed = new.join(label.withColumnRenamed("c", "old"), "u").where("c <> old").limit(1).count()
+        drop_materialized(edges.sparkSession, label)
         label = new
         if not changed:
             break
     return label.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
-def greedy_modularity(n: int, pairs: np.ndarray) -> np.ndarray:
-    """Communities of a small graph: the two are joined that raise modularity most, until none does."""
-    a = np.zeros((n, n))
-    a[pairs[:, 0], pairs[:, 1]] = a[pairs[:, 1], pairs[:, 0]] = 1.0
-    m2 = a.sum()
-    label = np.arange(n)
+def communities(edges: DataFrame) -> DataFrame:
+    """node, community (its smallest node): greedy modularity by local moves and contraction, the same at any size.
+
+    Every node starts on its own.  In a round a node moves to the neighbouring community that raises modularity most;
+    nodes move in turns drawn by hash, so that two do not change places, and each level ends when hardly any
+    moves.  Then communities become the nodes of the next level, with the summed weights as edges.  ``edges``: a, b;
+    direction, repeats and loops do not count.  Without edges there is no row.
+    """
+    one = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = one.union(one.select("b", "a")).toDF("u", "v").withColumn("w", F.lit(1.0))
+    both = materialize(both, "weighted")
+    m2 = both.agg(F.sum("w")).first()[0]
+    of = materialize(both.select(F.col("u").alias("node"), F.col("u").alias("c")).distinct(), "communities")
     if not m2:
-        return np.zeros(n, int)
-    e, alive = a / m2, np.ones(n, bool)
-    deg = e.sum(1)
-    while alive.sum() > 1:
-        gain = np.where((e > 0) & alive[:, None] & alive[None, :], 2 * (e - np.outer(deg, deg)), -1.0)
-        np.fill_diagonal(gain, -1.0)
-        i, j = np.unravel_index(int(np.argmax(gain)), gain.shape)
-        if gain[i, j] <= 1e-12:
+        return of.select("node", F.col("c").alias("community"))
+    for _ in range(LEVELS):
+        moved = materialize(_moves(both, m2), "moved")
+        nodes, left = moved.agg(F.count("*"), F.count_distinct("c")).first()
+        of = materialize(of.join(moved.select(F.col("u").alias("c"), F.col("c").alias("to")), "c").select("node", F.col("to").alias("c")), "communities")
+        if left > (1 - STILL) * nodes:
+            break
+        x = both.join(moved.select("u", F.col("c").alias("cu")), "u").join(moved.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
+        both = materialize(x.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "weighted")
+    first = of.groupBy("c").agg(F.min("node").alias("community"))
+    return of.join(first, "c").select("node", "community")
+
+
+def _moves(both: DataFrame, m2: float) -> DataFrame:
+    """u, c: the community of each node after the moves of one level; ``both``: u, v, w in both directions, loops once."""
+    label = materialize(both.groupBy("u").agg(F.sum("w").alias("k")).withColumn("c", F.col("u")), "moves")
+    nodes = label.count()
+    idle = 0
+    for turn in range(ROUNDS):
+        size = label.groupBy("c").agg(F.sum("k").alias("kc"))
+        near = both.where("u <> v").join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+        stay = label.select("u", "c").withColumn("w", F.lit(0.0))  # its own community may hold no neighbour
+        options = near.unionByName(stay).groupBy("u", "c").agg(F.sum("w").alias("w")).join(size, "c").join(label.select("u", "k", F.col("c").alias("own")), "u")
+        here = F.col("c") == F.col("own")
+        gain = F.col("w") - F.col("k") * (F.col("kc") - F.when(here, F.col("k")).otherwise(0.0)) / m2
+        best = options.groupBy("u").agg(F.max_by("c", F.struct(gain, here, -F.col("c"))).alias("to"))
+        on = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
+        new = materialize(label.join(best, "u").select("u", "k", F.when(on, F.col("to")).otherwise(F.col("c")).alias("c"), (on & (F.col("to") != F.col("c"))).alias("moved")), "moves")
+        n = new.where("moved").count()
+        drop_materialized(both.sparkSession, label)
+        label = new.drop("moved")
+        idle = idle + 1 if n <= STILL * nodes else 0
+        if idle == 2:  # both halves had their turn
             break
-        i, j = min(i, j), max(i, j)
-        e[i] += e[j]
-        e[:, i] += e[:, j]
-        e[j] = e[:, j] = 0
-        deg[i] += deg[j]
-        deg[j] = 0
-        alive[j] = False
-        label[label == j] = i
-    return label
+    return label.select("u", "c")
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """node, community: greedy modularity within components of up to GREEDY_UP_TO nodes; larger
-    components are first parted by labels spread over edges, so that none is gathered in one task."""
-    comp = materialize(components(edges), "components")
-    sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
-    big = sizes.where(F.col("n") > GREEDY_UP_TO).select("component")
-    e = edges.select("a", "b").where("a <> b").distinct().join(comp.select(F.col("node").alias("a"), "component"), "a")
-    both = e.select("component", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select("component", F.col("b").alias("u"), F.col("a").alias("v")))
-    wide = materialize(both.join(big, "component", "left_semi"), "wide")
-    label = wide.select("u").distinct().withColumn("c", F.col("u"))
-    for _ in range(5):  # the label most frequent among a node and its neighbours, ties to the smallest
-        votes = wide.join(label.select(F.col("u").alias("v"), "c"), "v").select("u", "c").unionByName(label).groupBy("u", "c").agg(F.count("*").alias("n"))
-        label = materialize(votes.groupBy("u").agg(F.max_by("c", F.struct(F.col("n"), -F.col("c"))).alias("c")), "spread")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-
-        def out(pdf: pd.DataFrame) -> pd.DataFrame:
-            parts = []
-            for _, g in pdf.groupby("component", sort=False):
-                ids = np.unique(np.concatenate([g["a"], g["b"]]))
-                at = np.searchsorted(ids, g[["a", "b"]].to_numpy())
-                parts.append(pd.DataFrame({"node": ids, "community": ids[greedy_modularity(len(ids), at)]}))
-            return pd.concat(parts)
-
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = pdf["component"] == pdf["component"].iloc[-1]
-            held = pdf[last]
-            if not last.all():
-                yield out(pdf[~last])
-        if held is not None:
-            yield out(held)
-
-    small = e.join(big, "component", "left_anti").repartition(parallelism(edges.sparkSession), "component").sortWithinPartitions("component", "a", "b")
-    return small.mapInPandas(run, "node bigint, community bigint").unionByName(label.select(F.col("u").alias("node"), F.col("c").alias("community")))
+def modularity(edges: DataFrame, of: DataFrame) -> float:
+    """The modularity of communities (node, community) of a graph (a, b; direction, repeats and loops do not count)."""
+    one = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = one.join(of.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    m, inside = x.agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
+    if not m:
+        return 0.0
+    ends = x.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").count()
+    return inside / m - ends.agg(F.sum(F.col("count") * F.col("count"))).first()[0] / (4.0 * m * m)
 
 
 def q_entities(spark: SparkSession, root: str) -> DataFrame:
@@ -242,8 +236,8 @@ def q_neighbours(hops: int):  # noqa: ANN201
 
 
 def _citations(spark: SparkSession, root: str) -> DataFrame:
-    """Edges between documents and the tasks on them, as numbers."""
-    t = table(spark, root, "lineitem").where("l_returnflag = 'R' AND l_quantity > 48")
+    """Edges between orders and the parts they name, as numbers: all line items."""
+    t = table(spark, root, "lineitem")
     return t.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000_000).alias("b"))
 
 
@@ -328,8 +322,6 @@ ORACLE = {
     "delete_by_doc": f"SELECT head, tail, count(DISTINCT doc_id) AS docs FROM {_SUP} WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1, 2",
     "neighbors_1hop": _hops(1),
     "neighbors_2hop": _hops(2),
-    "connected_components": """WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_partkey + 1000000000 AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48), f AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-x AS (SELECT a AS node, a AS c FROM f UNION SELECT f.b, x.c FROM x JOIN f ON f.a = x.node), m AS (SELECT node, min(c) AS c FROM x GROUP BY 1), s AS (SELECT c, count(*) AS n FROM m GROUP BY 1) SELECT n, count(*) AS components, CAST(sum(c) AS BIGINT) AS ids FROM s GROUP BY 1""",
     "topics_by_type": """SELECT p_type, count(*) AS members, string_agg(p_name, ', ' ORDER BY r) FILTER (r <= 3) AS title FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) GROUP BY 1""",
     "topic_centroids": "SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2",
     "topic_rank": """WITH c AS (SELECT label, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1), s AS (SELECT label, count(*) AS members FROM embeddings GROUP BY 1),

@@ -126,6 +126,8 @@ class Breaker:
 
     def record(self, now: float, ok: bool) -> None:
         at = int(now)
+        if at not in self.seconds:  # once a second: what has left the window goes
+            self.seconds = {s: x for s, x in self.seconds.items() if s >= at - BREAKER_WINDOW_S}
         n = self.seconds.setdefault(at, [0, 0])
         n[0] += 1
         n[1] += not ok
@@ -133,7 +135,6 @@ class Breaker:
             if self.state == "half_open":
                 self.state = "closed"
             return
-        self.seconds = {s: x for s, x in self.seconds.items() if s >= at - BREAKER_WINDOW_S}
         total, bad = (sum(x[k] for x in self.seconds.values()) for k in (0, 1))
         if total >= self.least and bad / total >= BREAKER_RATE:
             self.state, self.opened = "open", now

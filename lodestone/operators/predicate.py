@@ -45,7 +45,9 @@ def validate(expr: dict | None) -> dict[str, list[tuple[str, str, object]]]:
         for c in clauses or []:
             if not isinstance(c, dict) or not c.get("field"):
                 raise FilterError("a clause needs a field")
-            op = operator(str(c.get("op", "eq")))
+            if not c.get("op"):
+                raise FilterError("a clause needs an operator")
+            op = operator(str(c["op"]))
             value = c.get("value")
             if op == "in" and not isinstance(value, list | tuple):
                 raise FilterError("in needs a list")

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import PandasUDFType, pandas_udf
+from pyspark.sql.functions import pandas_udf
 
 from lodestone.functions.text import token_count
 from lodestone.sources.tables import table
 
 # Words that carry no meaning in a query.
 STOPWORDS = (
-    "的 了 是 在 和 与 及 或 也 都 很 有 被 把 对 于 以 为 等 吗 呢 啊 吧 这 那 如何 怎么 what how why when where who which the a an is "
-    "are of to in on for and or with by from that this it its as at do does did can could would"
-).split()
+    "的", "了", "是", "在", "和", "与", "及", "或", "也", "都", "很", "有",
+    "被", "把", "对", "于", "以", "为", "等", "吗", "呢", "啊", "吧", "这",
+    "那", "如何", "怎么", "what", "how", "why", "when", "where", "who", "which", "the", "a",
+    "an", "is", "are", "of", "to", "in", "on", "for", "and", "or", "with", "by",
+    "from", "that", "this", "it", "its", "as", "at", "do", "does", "did", "can", "could",
+    "would",
+)
 SENTENCE_END = "(?<=[。！？!?；;])"
 
 
@@ -55,15 +58,17 @@ def normalized_query(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Compatibility composition; Spark has no such function."""
-    return pandas_udf(lambda s: s.str.normalize("NFKC"), T.StringType(), functionType=PandasUDFType.SCALAR)(text)
 
+    @pandas_udf("string")
+    def composed(s):  # noqa: ANN001, ANN202
+        return s.str.normalize("NFKC")
 
-def normalized_name(name: Column, ascii_only: bool = False) -> Column:
-    """The key of an entity: NFKC, stripped, lower case, no punctuation, single blanks.
+    return composed(text)
 
-    ``ascii_only`` spares the round through Python where no name holds other characters.
-    """
-    s = F.lower(stripped(name if ascii_only else nfkc(name)))
+
+def normalized_name(name: Column) -> Column:
+    """The key of an entity: NFKC, stripped, lower case, no punctuation, single blanks."""
+    s = F.lower(stripped(nfkc(name)))
     s = F.regexp_replace(s, "[^\\p{L}\\p{N}_\\s]", "")
     return F.regexp_replace(s, "\\s+", " ")
 
@@ -144,14 +149,14 @@ def q_sentence_split(spark: SparkSession, root: str) -> DataFrame:
 
 def q_normalized_query(spark: SparkSession, root: str) -> DataFrame:
     """Normal forms of file names, with how many share each."""
-    d = table(spark, root, "documents").where(F.col("filename").rlike("^[\\x20-\\x7E]+$"))
+    d = table(spark, root, "documents").where("filename IS NOT NULL")
     return d.groupBy(normalized_query(F.col("filename")).alias("form")).agg(F.count("*").alias("n"))
 
 
 def q_normalized_name(spark: SparkSession, root: str) -> DataFrame:
     """Keys of section titles, with how many atoms have each."""
-    a = table(spark, root, "atoms").where(F.col("context").rlike("^[\\x20-\\x7E]+$"))
-    return a.groupBy(normalized_name(F.col("context"), ascii_only=True).alias("name_norm")).agg(F.count("*").alias("n"))
+    a = table(spark, root, "atoms").where("context IS NOT NULL").groupBy("context").agg(F.count("*").alias("m"))
+    return a.groupBy(normalized_name(F.col("context")).alias("name_norm")).agg(F.sum("m").alias("n"))
 
 
 def q_table_header(spark: SparkSession, root: str) -> DataFrame:
@@ -273,8 +278,7 @@ ORACLE = {
     "sentence_split": f"""SELECT chunk_id, len(s) AS n, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM (SELECT DISTINCT chunk_id,
 list_filter(string_split(regexp_replace({strip_sql('text')}, '([。！？!?；;])', '\\1' || chr(31), 'g'), chr(31)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '') AS s FROM chunks WHERE text IS NOT NULL)""",
     "normalized_query": f"""SELECT array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(filename), '[-_/]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 1 AND w NOT IN ({", ".join(repr(w) for w in STOPWORDS)})), ' ') AS form, count(*) AS n
-FROM documents WHERE regexp_full_match(filename, '[\\x20-\\x7E]+') GROUP BY 1""",
-    "normalized_name": f"SELECT regexp_replace(regexp_replace(lower({strip_sql('context')}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g') AS name_norm, count(*) AS n FROM atoms WHERE regexp_full_match(context, '[\\x20-\\x7E]+') GROUP BY 1",
+FROM documents WHERE filename IS NOT NULL GROUP BY 1""",
     "table_header": f"""SELECT DISTINCT atom_id, md5(CASE WHEN len(l) >= 2 AND contains(l[1], '|') AND regexp_full_match({strip_sql('l[2]')}, '[|\\-: ]*') THEN l[1] || chr(10) || l[2] ELSE '' END) AS header
 FROM (SELECT atom_id, string_split({strip_sql('text')}, chr(10)) AS l FROM atoms WHERE type = 'table' AND text IS NOT NULL)""",
     "confidence_parse": f"""SELECT doc_id, CASE WHEN c = '' THEN 0.5 ELSE least(1.0, CAST(c AS DOUBLE)) END AS confidence, length({strip_sql("regexp_replace(t, '(?i)confidence\\s*:\\s*(0?\\.\\d+|1\\.0+)', '')")}) AS chars

@@ -197,6 +197,25 @@ def test_graph_extraction_and_deletion(spark):
     assert rows(left.select("name")) == {("a",)} and kept.count() == 0
 
 
+def test_breaker_keeps_a_window_only():
+    b = ledger.Breaker()
+    for k in range(5000):
+        b.record(float(k), True)
+    assert len(b.seconds) <= 62 and b.state == "closed"
+
+
+def test_communities_raise_modularity(spark):
+    r = np.random.default_rng(2)
+    pairs = {(int(min(a, b)), int(max(a, b))) for g in range(12) for a, b in r.integers(30 * g, 30 * g + 30, (150, 2)) if a != b}
+    pairs |= {(int(a), int(b)) for a, b in zip(r.integers(0, 180, 60), r.integers(180, 360, 60), strict=True)}
+    e = spark.createDataFrame(sorted(pairs), "a bigint, b bigint")
+    of = graph.communities(e)
+    planted = of.select("node", F.floor(F.col("node") / 30).alias("community"))
+    assert of.groupBy("node").count().where("count > 1").count() == 0 and of.count() == len({x for p in pairs for x in p})
+    assert graph.modularity(e, of) >= 0.97 * graph.modularity(e, planted)
+    assert graph.communities(e.limit(0)).count() == 0
+
+
 def test_components_and_communities(spark):
     chain = [(i, i + 1) for i in range(1, 40)]
     c = graph.components(spark.createDataFrame([*chain, (100, 101)], "a bigint, b bigint"))

@@ -43,9 +43,15 @@ def test_query_equals_sql(spark, duck, tiny, name):
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(k for k in set(QUERIES) - set(ORACLE) if not k.startswith("p")))
+#: Queries that may find nothing in the smallest tables.
+MAY_BE_EMPTY = {"relation_extract", "stream_breaker", "p10_found", "p10_restored"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, tiny, name):
-    assert QUERIES[name](spark, tiny).count() >= 0
+    got = QUERIES[name](spark, tiny)
+    n = got.count()
+    assert len(got.columns) == len(set(got.columns)) and (n > 0 or name in MAY_BE_EMPTY)
 
 
 def test_entry(spark):
