@@ -19,7 +19,7 @@ IS_A = "([\\u4e00-\\u9fffA-Za-z]{2,20})\\s*是\\s*([\\u4e00-\\u9fffA-Za-z]{2,20}
 OF_IS = "([\\u4e00-\\u9fff]{2,10})\\s*的\\s*([\\u4e00-\\u9fff]{2,10})\\s*是\\s*([\\u4e00-\\u9fff]{2,20})"
 CONFIDENCE, CONFIDENCE_MIN, SAME_AS = 0.55, 0.5, 0.92
 #: Rounds of moves on a level and levels of contraction end when less than this share of the nodes moves, at these numbers at the latest.
-STILL, ROUNDS, LEVELS = 0.002, 16, 6
+STILL, ROUNDS, LEVELS = 0.01, 8, 4
 
 
 def entity_names(text: Column) -> Column:
