@@ -86,16 +86,46 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
     The frontier is joined with the edges hop by hop, distinct before each join; what was seen drops out.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct()
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
+    both = _ways(edges)
+    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
     front = seen
     for d in range(1, hops + 1):
         step = front.join(both, "node").select("seed", F.col("to").alias("node")).distinct()
-        front = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d))
+        known = seen.select(F.col("seed").alias("s"), F.col("node").alias("n"))
+        front = step.join(known, (F.col("seed") == F.col("s")) & F.col("node").eqNullSafe(F.col("n")), "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(front)
     return seen
 
 
+def _ways(edges: DataFrame) -> DataFrame:
+    """node, to: the edges (a, b) walked both ways, each once."""
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct()
+
+
+def neighbour_totals(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """seed, depth, n, ids: number and sum of the nodes at each depth of :func:`neighbours`, for nodes that are numbers.
+
+    Seeds with the same neighbours (twins, as the leaves of a hub) reach the same nodes at the same depths, but for themselves:
+    each is one of the nodes around the other, at depth 1 if they have loops and else at 2.  So one seed of each class is walked
+    from, and the others put it in their own place.  Classes come from fingerprints of the neighbours, compared exactly.
+    """
+    seeds = seeds.select("seed").distinct()
+    near = seeds.join(_ways(edges).withColumnRenamed("node", "seed"), "seed")
+    loop = F.coalesce(F.bool_or(F.col("to") == F.col("seed")), F.lit(False))
+    prints = near.groupBy("seed").agg(F.count("*").alias("degree"), F.bit_xor(F.xxhash64("to")).alias("x"), F.bit_xor(F.xxhash64("to", F.lit(1))).alias("y"), loop.alias("loop"))
+    alike = prints.join(prints.groupBy("degree", "x", "y").agg(F.min("seed").alias("first")), ["degree", "x", "y"]).select("seed", "degree", "first")
+    of_first = near.join(alike.select("first").distinct(), F.col("seed") == F.col("first"), "left_semi").select(F.col("seed").alias("f"), F.col("to").alias("t"))
+    shared = near.join(alike, "seed").join(of_first, (F.col("first") == F.col("f")) & F.col("to").eqNullSafe(F.col("t")))
+    twins = shared.groupBy("seed", "degree", "first").agg(F.count("*").alias("both")).where("both = degree").select("seed", "first")
+    # of equal fingerprints and unequal neighbours: on its own
+    of = prints.join(twins, "seed", "left").select("seed", "loop", F.coalesce("first", "seed").alias("first"))
+    walked = neighbours(edges, of.select(F.col("first").alias("seed")).distinct(), hops).where("depth > 0")
+    totals = walked.groupBy(F.col("seed").alias("first"), "depth").agg(F.count("*").alias("n"), F.sum("node").alias("ids"))
+    met = F.col("depth") == F.when(F.col("loop"), 1).otherwise(2)
+    far = of.join(totals, "first").select("seed", "depth", "n", F.when(met & (F.col("seed") != F.col("first")), F.col("ids") + F.col("first") - F.col("seed")).otherwise(F.col("ids")).alias("ids"))
+    return seeds.select("seed", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("n"), F.col("seed").cast("bigint").alias("ids")).unionByName(far)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node): labels are handed on over edges and over labels, so a round
     at least doubles the distance that they cover; lineage is cut in each round, and rounds end when no label changes."""
@@ -229,7 +259,7 @@ def q_neighbours(hops: int):  # noqa: ANN201
     def run(spark: SparkSession, root: str) -> DataFrame:
         e = _edges(spark, root)
         seeds = table(spark, root, "supplier").select((F.col("s_suppkey") + 10_000).cast("bigint").alias("seed"))
-        return neighbours(e, seeds, hops).groupBy("seed", "depth").agg(F.count("*").alias("n"), F.sum("node").alias("ids"))
+        return neighbour_totals(e, seeds, hops)
 
     run.__doc__ = f"Nodes within {hops} steps of every supplier."
     return run

@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -225,6 +226,33 @@ def test_components_and_communities(spark):
     assert len(set(g.values())) == 2 and g[11] == g[12] != g[21]
 
 
+def test_neighbour_totals_equal_a_walk_from_each_seed(spark):
+    r = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 40, (30, 2))] + [(100 + i, 200 + i % 2) for i in range(12)] + [(300 + i, 400 + j) for i in range(4) for j in range(3)]
+    # twins with loops, twins with an unknown neighbour that is found again, an unknown node, a seed without edges
+    pairs += [(a, b) for a in (500, 501) for b in (500, 501, 502)] + [(i, n) for i in (600, 601, 602) for n in (603, None)] + [(None, 5), (5, 6)]
+    e = spark.createDataFrame(pairs, "a bigint, b bigint")
+    s = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p if x is not None})] + [(100,), (999,)], "seed bigint")
+    for hops in (0, 1, 2, 3):
+        want = graph.neighbours(e, s, hops).groupBy("seed", "depth").agg(F.count("*").alias("n"), F.sum("node").alias("ids"))
+        assert rows(graph.neighbour_totals(e, s, hops)) == rows(want)
+    assert graph.neighbours(e, s, 3).groupBy("seed", "node").count().where("count > 1").count() == 0
+
+
+def test_neighbours_of_a_hub_take_no_pairs(spark, tmp_path):
+    many = 20_000  # 400 million pairs of suppliers
+    for name, df in {"nation": spark.range(1).selectExpr("id AS n_nationkey", "7 AS n_regionkey"), "supplier": spark.range(many).selectExpr("id AS s_suppkey", "0 AS s_nationkey"), "customer": spark.range(0).selectExpr("id AS c_custkey", "0 AS c_nationkey")}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = graph.QUERIES["neighbors_2hop"](spark, str(tmp_path)).where("depth = 2").agg(F.count("*"), F.min("n"), F.max("n"), F.min(F.col("ids") + F.col("seed")), F.max(F.col("ids") + F.col("seed"))).first()
+    finally:
+        late.cancel()
+    every = sum(range(10_000, 10_000 + many)) + 7
+    assert tuple(got) == (many, many, many, every, every)
+
+
 def test_breaker_and_bucket():
     b = ledger.Breaker(4)
     for t in range(4):
