@@ -5,10 +5,12 @@ Entities and relations are two DataFrames; the bridge of chunks to entities is a
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.session import drop_materialized, materialize
+from lodestone.plans.session import drop_materialized, materialize, materialize_by, parallelism
 from lodestone.sources.tables import table
 
 # Patterns and thresholds of the rule extraction.
@@ -20,6 +22,8 @@ OF_IS = "([\\u4e00-\\u9fff]{2,10})\\s*的\\s*([\\u4e00-\\u9fff]{2,10})\\s*是\\s
 CONFIDENCE, CONFIDENCE_MIN, SAME_AS = 0.55, 0.5, 0.92
 #: Rounds of moves on a level and levels of contraction end when less than this share of the nodes moves, at these numbers at the latest.
 STILL, ROUNDS, LEVELS = 0.01, 8, 4
+#: Edges of a bucket, on average.
+BUCKET = 1_000_000
 
 
 def entity_names(text: Column) -> Column:
@@ -153,47 +157,77 @@ def communities(edges: DataFrame) -> DataFrame:
     moves.  Then communities become the nodes of the next level, with the summed weights as edges.  ``edges``: a, b;
     direction, repeats and loops do not count.  Without edges there is no row.
     """
+    spark = edges.sparkSession
     one = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = one.union(one.select("b", "a")).toDF("u", "v").withColumn("w", F.lit(1.0))
-    both = materialize(both, "weighted")
-    m2 = both.agg(F.sum("w")).first()[0]
-    of = materialize(both.select(F.col("u").alias("node"), F.col("u").alias("c")).distinct(), "communities")
+    one = materialize(one, "pairs")
+    m2 = 2.0 * one.count()
     if not m2:
-        return of.select("node", F.col("c").alias("community"))
-    for _ in range(LEVELS):
-        moved = materialize(_moves(both, m2), "moved")
+        return one.select(F.col("a").alias("node"), F.col("a").alias("community"))
+    parts = max(parallelism(spark), ceil(m2 / BUCKET))
+    both = materialize_by(one.union(one.select("b", "a")).toDF("u", "v").withColumn("w", F.lit(1.0)), "weighted", parts, "v")
+    drop_materialized(spark, one)
+    of = None
+    for level in range(LEVELS):
+        moved = _moves(both, m2, parts)
         nodes, left = moved.agg(F.count("*"), F.count_distinct("c")).first()
-        of = materialize(of.join(moved.select(F.col("u").alias("c"), F.col("c").alias("to")), "c").select("node", F.col("to").alias("c")), "communities")
-        if left > (1 - STILL) * nodes:
+        if of is None:
+            of = moved.select(F.col("u").alias("node"), "c")
+        else:
+            of = materialize(of.join(moved.select(F.col("u").alias("c"), F.col("c").alias("to")), "c").select("node", F.col("to").alias("c")), "communities")
+        if left > (1 - STILL) * nodes or level == LEVELS - 1:
             break
-        x = both.join(moved.select("u", F.col("c").alias("cu")), "u").join(moved.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
-        both = materialize(x.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "weighted")
+        fine, both = both, materialize_by(_contracted(both, moved, parts), "weighted", parts, "v", dealt=True)
+        drop_materialized(spark, fine)
+    drop_materialized(spark, both)
     first = of.groupBy("c").agg(F.min("node").alias("community"))
     return of.join(first, "c").select("node", "community")
 
 
-def _moves(both: DataFrame, m2: float) -> DataFrame:
-    """u, c: the community of each node after the moves of one level; ``both``: u, v, w in both directions, loops once."""
-    label = materialize(both.groupBy("u").agg(F.sum("w").alias("k")).withColumn("c", F.col("u")), "moves")
+def _contracted(both: DataFrame, moved: DataFrame, parts: int) -> DataFrame:
+    """u, v, w between communities, dealt by v: each pair of nodes is moved once and told both ways; ``moved``: u, c."""
+    half = both.where("u <= v").join(moved.select(F.col("u").alias("v"), F.col("c").alias("cv")).hint("shuffle_hash"), "v").select("u", "v", "cv", "w")
+    ends = half.repartition(parts, "u").join(moved.select("u", F.col("c").alias("cu")).hint("shuffle_hash"), "u")
+    within = F.col("cu") == F.col("cv")
+    # within a community both ways are one loop; a loop was one way before
+    w = F.col("w") * F.when(within & (F.col("u") != F.col("v")), 2.0).otherwise(1.0)
+    ways = F.array(F.struct(F.col("cu").alias("u"), F.col("cv").alias("v"), w.alias("w")), F.struct(F.col("cv").alias("u"), F.col("cu").alias("v"), w.alias("w")))
+    told = ends.select(F.explode(F.when(within, F.slice(ways, 1, 1)).otherwise(ways)).alias("x")).select("x.u", "x.v", "x.w")
+    return told.repartition(parts, "v").groupBy("u", "v").agg(F.sum("w").alias("w"))
+
+
+def _moves(both: DataFrame, m2: float, parts: int) -> DataFrame:
+    """u, c: the community of each node after the moves of one level; ``both``: u, v, w in both directions, loops once, in buckets of v.
+
+    Labels lie in the same buckets, with the weight of their community, so edges meet them where they are.  Only what
+    nodes are told whose turn it is goes through a shuffle, once a round, to the bucket of the node.
+    """
+    spark = both.sparkSession
+    k = both.groupBy(F.col("v").alias("u")).agg(F.sum("w").alias("k"))
+    label = materialize_by(k.select("u", "k", F.col("u").alias("c"), F.col("k").alias("kc")), "labels", parts, "u")
     nodes = label.count()
-    idle = 0
+    idle, new = 0, None
     for turn in range(ROUNDS):
-        size = label.groupBy("c").agg(F.sum("k").alias("kc"))
-        near = both.where("u <> v").join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
-        stay = label.select("u", "c").withColumn("w", F.lit(0.0))  # its own community may hold no neighbour
-        options = near.unionByName(stay).groupBy("u", "c").agg(F.sum("w").alias("w")).join(size, "c").join(label.select("u", "k", F.col("c").alias("own")), "u")
+        if new is not None:
+            size = new.groupBy("c").agg(F.sum("k").alias("kc"))
+            label = materialize_by(new.join(size, "c").select("u", "k", "c", "kc"), "labels", parts, "u")
+        on = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
+        near = both.where("u <> v").where(on).join(label.select(F.col("u").alias("v"), "c", "kc").hint("shuffle_hash"), "v").select("u", "c", "kc", "w")
+        stay = label.where(on).select("u", "c", "kc", F.lit(0.0).alias("w"))  # its own community may hold no neighbour
+        told = near.unionByName(stay).repartition(parts, "u").groupBy("u", "c").agg(F.sum("w").alias("w"), F.max("kc").alias("kc"))
+        options = told.join(label.select("u", "k", F.col("c").alias("own")).hint("shuffle_hash"), "u")
         here = F.col("c") == F.col("own")
         gain = F.col("w") - F.col("k") * (F.col("kc") - F.when(here, F.col("k")).otherwise(0.0)) / m2
-        best = options.groupBy("u").agg(F.max_by("c", F.struct(gain, here, -F.col("c"))).alias("to"))
-        on = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
-        new = materialize(label.join(best, "u").select("u", "k", F.when(on, F.col("to")).otherwise(F.col("c")).alias("c"), (on & (F.col("to") != F.col("c"))).alias("moved")), "moves")
+        best = options.groupBy("u").agg(F.max("k").alias("k"), F.max("own").alias("own"), F.max_by("c", F.struct(gain, here, -F.col("c"))).alias("c"))
+        rest = label.where(~on).select("u", "k", "c", F.lit(False).alias("moved"))
+        last, new = new, materialize(best.select("u", "k", "c", (F.col("c") != F.col("own")).alias("moved")).unionByName(rest), "moves")
         n = new.where("moved").count()
-        drop_materialized(both.sparkSession, label)
-        label = new.drop("moved")
+        drop_materialized(spark, label)
+        if last is not None:
+            drop_materialized(spark, last)
         idle = idle + 1 if n <= STILL * nodes else 0
         if idle == 2:  # both halves had their turn
             break
-    return label.select("u", "c")
+    return new.select("u", "c")
 
 
 def modularity(edges: DataFrame, of: DataFrame) -> float:

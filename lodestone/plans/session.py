@@ -59,11 +59,28 @@ def materialize(df: DataFrame, what: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def materialize_by(df: DataFrame, what: str, parts: int, key: str, dealt: bool = False) -> DataFrame:
+    """As :func:`materialize`, in ``parts`` buckets by the hash of ``key``, so that joins and groups by it move nothing.
+
+    ``dealt``: ``df`` is in such partitions already.
+    """
+    spark = df.sparkSession
+    name = f"{what}_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/lodestone/{name}"
+    # the bucketing is in the catalog only; files there outlive the table
+    (df if dealt else df.repartition(parts, key)).write.bucketBy(parts, key).option("path", at).saveAsTable(name)
+    _forget_at_exit(spark, at)
+    return spark.table(name)
+
+
 def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a folder that :func:`materialize` wrote, once nothing reads it any more."""
+    """Remove a folder that :func:`materialize` or :func:`materialize_by` wrote, once nothing reads it any more."""
     for f in df.inputFiles()[:1]:
         folder = f.rsplit("/", 1)[0]
         if "/lodestone/" in folder:
+            name = folder.rsplit("/", 1)[1]
+            if "-" not in name:
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
             _remove(spark, folder)
 
 

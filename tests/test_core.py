@@ -217,6 +217,25 @@ def test_communities_raise_modularity(spark):
     assert graph.communities(e.limit(0)).count() == 0
 
 
+def test_a_round_of_communities_shuffles_once(spark, monkeypatch):
+    plans = []
+    materialize = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, what: (plans.append((what, df._jdf.queryExecution().executedPlan().toString())), materialize(df, what))[1])
+    e = spark.createDataFrame([(a, b) for g in range(5) for a in range(6 * g, 6 * g + 6) for b in range(6 * g, a)] + [(0, 6), (12, 18), (18, 24)], "a bigint, b bigint")
+    got = rows(graph.communities(e).groupBy("community").count())
+    assert got == {(6 * g, 6) for g in range(5)}
+    # edges and labels meet in their buckets; what nodes are told is all that is moved
+    rounds = [p for what, p in plans if what == "moves"]
+    assert len(rounds) > 1 and all(p.count("Exchange") == 1 for p in rounds)
+
+
+def test_contraction_keeps_weights_and_loops(spark):
+    one = {(1, 2): 1.0, (2, 3): 2.0, (3, 4): 4.0, (1, 4): 8.0, (2, 4): 16.0}
+    both = spark.createDataFrame([(a, b, w) for (a, b), w in one.items()] + [(b, a, w) for (a, b), w in one.items()] + [(1, 1, 32.0), (4, 4, 64.0)], "u bigint, v bigint, w double")
+    of = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "u bigint, c bigint")
+    assert rows(graph._contracted(both, of, 3)) == {(1, 1, 34.0), (3, 3, 72.0), (1, 3, 26.0), (3, 1, 26.0)}
+
+
 def test_components_and_communities(spark):
     chain = [(i, i + 1) for i in range(1, 40)]
     c = graph.components(spark.createDataFrame([*chain, (100, 101)], "a bigint, b bigint"))
