@@ -5,11 +5,15 @@ Entities and relations are two DataFrames; the bridge of chunks to entities is a
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from lodestone.operators import held as task
 from lodestone.plans.session import drop_materialized, materialize, materialize_by, parallelism
 from lodestone.sources.tables import table
 
@@ -24,6 +28,8 @@ CONFIDENCE, CONFIDENCE_MIN, SAME_AS = 0.55, 0.5, 0.92
 STILL, ROUNDS, LEVELS = 0.01, 8, 4
 #: Edges of a bucket, on average.
 BUCKET = 1_000_000
+#: Edges that a task of the queries may hold, repeats counted, and those of a partition of components, on average.
+HELD, DEALT = 4_000_000, 250_000
 
 
 def entity_names(text: Column) -> Column:
@@ -149,15 +155,20 @@ def components(edges: DataFrame) -> DataFrame:
     return label.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
-def communities(edges: DataFrame) -> DataFrame:
+def communities(edges: DataFrame, held: int = 0) -> DataFrame:
     """node, community (its smallest node): greedy modularity by local moves and contraction, the same at any size.
 
     Every node starts on its own.  In a round a node moves to the neighbouring community that raises modularity most;
     nodes move in turns drawn by hash, so that two do not change places, and each level ends when hardly any
     moves.  Then communities become the nodes of the next level, with the summed weights as edges.  ``edges``: a, b;
     direction, repeats and loops do not count.  Without edges there is no row.
+
+    ``held``: edges that a task may hold, repeats counted.  If the graph, or each of its components, has no more, tasks go
+    through all rounds and levels in memory; the result is the same.
     """
     spark = edges.sparkSession
+    if held and (done := _held(edges, held)) is not None:
+        return done
     one = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one = materialize(one, "pairs")
     m2 = 2.0 * one.count()
@@ -183,6 +194,65 @@ def communities(edges: DataFrame) -> DataFrame:
     return of.join(first, "c").select("node", "community")
 
 
+def _held(edges: DataFrame, most: int) -> DataFrame | None:
+    """As :func:`communities`, in tasks that hold the graph or whole components; None where one has over ``most`` edges."""
+    spark = edges.sparkSession
+    one = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    n = one.count()
+    if n <= most:
+        return _settled(one.repartition(1).withColumn("component", F.lit(0)), None, [ROUNDS] * LEVELS).where("level IS NULL").select("node", "community")
+    kind = one.schema["a"].dataType
+    rooted = materialize(one.mapInArrow(task.rooted(to_arrow_type(kind)), ", ".join(f"{k} {kind.simpleString()}" for k in ("a", "b", "root"))), "rooted")
+    # stretches that share a node are of one component
+    ends = rooted.where("b IS NULL").groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    links = rooted.where("b IS NULL").join(ends, "a").where("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct()
+    of = components(links).select(F.col("node").alias("root"), "component")
+    pairs = rooted.where("b IS NOT NULL").join(of, "root", "left").select(F.coalesce("component", "root").alias("component"), "a", "b")
+    if pairs.groupBy("component").count().agg(F.max("count")).first()[0] > most:
+        drop_materialized(spark, rooted)
+        return None
+    pairs = materialize(pairs, "pairs")
+    drop_materialized(spark, rooted)
+    m2 = 2.0 * pairs.select("a", "b").distinct().count()
+    parts = max(4 * parallelism(spark), ceil(n / DEALT))
+    turns = [ROUNDS] * LEVELS
+    while True:
+        made = _settled(pairs.repartition(parts, "component").sortWithinPartitions("component"), m2, turns)
+        # rounds and levels end by the counts of all tasks
+        ended = _ended({(r.level, r.turn): r.n for r in made.where("level IS NOT NULL").groupBy("level", "turn").agg(F.sum("n").alias("n")).collect()}, turns)
+        if ended == turns:
+            drop_materialized(spark, pairs)
+            return made.where("level IS NULL").select("node", "community")
+        drop_materialized(spark, made)
+        turns = ended
+
+
+def _settled(pairs: DataFrame, m2: float | None, turns: list[int]) -> DataFrame:
+    """node, community, level, turn, n by :func:`held.settled`; ``pairs``: component, a, b, partitions of whole components in order."""
+    kind = pairs.schema["a"].dataType
+    bits = [reduce(add, [_on(F.col(x), t).cast("int") * 2**t for t in range(ROUNDS)]).alias(f"on_{x}") for x in ("a", "b")]
+    schema = f"node {kind.simpleString()}, community {kind.simpleString()}, level int, turn int, n bigint"
+    return materialize(pairs.select("component", "a", "b", *bits).mapInArrow(task.settled(to_arrow_type(kind), m2, turns, STILL), schema), "moves")
+
+
+def _ended(counts: dict[tuple[int, int], int], turns: list[int]) -> list[int]:
+    """The rounds of each level by the counts of a run with ``turns`` rounds; after a level that ended earlier, as many as there may be."""
+    for level, rounds in enumerate(turns):
+        nodes, idle = counts[level, task.NODES], 0
+        for turn in range(rounds):
+            idle = idle + 1 if counts[level, turn] <= STILL * nodes else 0
+            if idle == 2 and turn + 1 < rounds:
+                return [*turns[:level], turn + 1, *[ROUNDS] * (LEVELS - 1 - level)]
+        if counts[level, task.LEFT] > (1 - STILL) * nodes:
+            return turns[: level + 1]
+    return turns
+
+
+def _on(u: Column, turn: int) -> Column:
+    """Whether it is the turn of a node."""
+    return F.pmod(F.xxhash64(u, F.lit(turn)), F.lit(2)) == 0
+
+
 def _contracted(both: DataFrame, moved: DataFrame, parts: int) -> DataFrame:
     """u, v, w between communities, dealt by v: each pair of nodes is moved once and told both ways; ``moved``: u, c."""
     half = both.where("u <= v").join(moved.select(F.col("u").alias("v"), F.col("c").alias("cv")).hint("shuffle_hash"), "v").select("u", "v", "cv", "w")
@@ -210,7 +280,7 @@ def _moves(both: DataFrame, m2: float, parts: int) -> DataFrame:
         if new is not None:
             size = new.groupBy("c").agg(F.sum("k").alias("kc"))
             label = materialize_by(new.join(size, "c").select("u", "k", "c", "kc"), "labels", parts, "u")
-        on = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
+        on = _on(F.col("u"), turn)
         near = both.where("u <> v").where(on).join(label.select(F.col("u").alias("v"), "c", "kc").hint("shuffle_hash"), "v").select("u", "c", "kc", "w")
         stay = label.where(on).select("u", "c", "kc", F.lit(0.0).alias("w"))  # its own community may hold no neighbour
         told = near.unionByName(stay).repartition(parts, "u").groupBy("u", "c").agg(F.sum("w").alias("w"), F.max("kc").alias("kc"))
@@ -313,7 +383,7 @@ def q_components(spark: SparkSession, root: str) -> DataFrame:
 
 def q_communities(spark: SparkSession, root: str) -> DataFrame:
     """Communities of orders and parts, of three members at least."""
-    return communities(_citations(spark, root)).groupBy("community").agg(F.count("*").alias("members")).where("members >= 3")
+    return communities(_citations(spark, root), HELD).groupBy("community").agg(F.count("*").alias("members")).where("members >= 3")
 
 
 def q_topics_by_type(spark: SparkSession, root: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.operators import agentic, caching, graph, ingest, ledger, observe, predicate, search, texts
+from lodestone.operators import agentic, caching, graph, held, ingest, ledger, observe, predicate, search, texts
 from lodestone.operators.orphans import OrphanState, OrphanTracker, advance, orphans, snapshot
 from lodestone.plans import pipeline
 from lodestone.plans.registry import default_registry
@@ -229,6 +229,54 @@ def test_a_round_of_communities_shuffles_once(spark, monkeypatch):
     assert len(rounds) > 1 and all(p.count("Exchange") == 1 for p in rounds)
 
 
+def test_communities_in_tasks_equal_rounds_over_the_cluster(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    pairs = [(30 * g + int(a), 30 * g + int(b)) for g in range(14) for a, b in r.integers(0, 30, (120, 2))]  # settled early
+    pairs += [(30 * g + int(a), 30 * g + 30 + int(b)) for g in (0, 2, 4) for a, b in r.integers(0, 30, (20, 2))]
+    pairs += [(1000 + int(a), 2000 + int(b)) for a, b in r.integers(0, 100, (400, 2))]  # not settled
+    pairs += [(7, 7), (9000, 9000), (None, 3), (3, None), *pairs[:200]]
+    e = spark.createDataFrame([pairs[k] for k in r.permutation(len(pairs))], "a bigint, b bigint").repartition(5)
+    assert graph._held(e, 300) is None  # none may hold the largest component
+    one, each = rows(graph.communities(e, held=10_000)), rows(graph.communities(e, held=600))  # a task, and a component to a task
+    assert one == each and len(one) > 500 and len({c for _, c in one}) < 100
+    ints = e.selectExpr("cast(a AS int) AS a", "cast(b AS int) AS b")
+    assert rows(graph.communities(ints, held=600)) == rows(graph.communities(ints, held=10_000))
+    assert graph.communities(e.limit(0), held=10).count() == 0
+    monkeypatch.setattr(graph, "ROUNDS", 3)
+    monkeypatch.setattr(graph, "LEVELS", 2)
+    assert rows(graph.communities(e, held=10_000)) == rows(graph.communities(e, held=600)) == rows(graph.communities(e))
+
+
+def test_components_of_stretches():
+    r = np.random.default_rng(6)
+    a, b = (r.integers(0, 300, 200) for _ in range(2))
+    root = held.roots(300, a, b)
+    known = list(range(300))
+    for _ in range(300):
+        for x, y in zip(a, b, strict=True):
+            known[x] = known[y] = min(known[x], known[y])
+    assert root.tolist() == known
+    chain = r.permutation(5000)
+    assert not held.roots(5000, chain[:-1], chain[1:]).any()
+
+
+def test_rounds_end_by_the_counts_of_all_tasks():
+    full = [graph.ROUNDS] * graph.LEVELS
+    counts = {(lv, t): 50 for lv in range(graph.LEVELS) for t in range(graph.ROUNDS)} | {(lv, held.NODES): 1000 for lv in range(graph.LEVELS)} | {(lv, held.LEFT): 500 for lv in range(graph.LEVELS)}
+    assert graph._ended(counts, full) == full
+    early = counts | {(1, 2): 10, (1, 3): 0}
+    assert graph._ended(early, full) == [graph.ROUNDS, 4, *full[2:]] and graph._ended(early, [graph.ROUNDS, 4, *full[2:]]) == [graph.ROUNDS, 4, *full[2:]]
+    assert graph._ended(counts | {(1, held.LEFT): 991}, full) == full[:2]
+
+
+def test_the_query_of_communities_writes_its_moves_once(spark, tiny, monkeypatch):
+    written = []
+    materialize = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, what: (written.append(what), materialize(df, what))[1])
+    assert graph.q_communities(spark, tiny).count() > 0
+    assert written == ["moves"]
+
+
 def test_contraction_keeps_weights_and_loops(spark):
     one = {(1, 2): 1.0, (2, 3): 2.0, (3, 4): 4.0, (1, 4): 8.0, (2, 4): 16.0}
     both = spark.createDataFrame([(a, b, w) for (a, b), w in one.items()] + [(b, a, w) for (a, b), w in one.items()] + [(1, 1, 32.0), (4, 4, 64.0)], "u bigint, v bigint, w double")
